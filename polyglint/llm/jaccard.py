@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import semi_by_key, shuffle_partitions, written
+from .shared import BROADCAST_ROWS, shuffle_partitions, written
 
 SLICE_BYTES = 4 << 20
 
@@ -142,19 +142,19 @@ def _postings(n: int, threshold: float, common: int, buckets: int, frequent):
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 _PACKED_SQL = "bucket int, grams binary, places binary, ids binary, sizes binary"
-_HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("hits", pa.int32())])
-_HITS_SQL = "a long, b long, size_a int, size_b int, hits int"
+_HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("larger", pa.int32()), ("hits", pa.int32())])
+_HITS_SQL = "a long, b long, larger int, hits int"
 
 
 def _count_pairs(left: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, size a, size b, hits) summed over equal a, b."""
+    """Rows (a, b, larger size, hits) summed over equal a, b."""
     rows = np.concatenate(left, axis=1)
     order = np.lexsort((rows[1], rows[0]))
     rows = rows[:, order]
     new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
     starts = np.flatnonzero(new)
     out = rows[:, starts]
-    out[4] = np.add.reduceat(rows[4], starts)
+    out[3] = np.add.reduceat(rows[3], starts)
     return out
 
 
@@ -186,7 +186,7 @@ def _tile_hits(threshold: float, crowd: int, never: int):
         if big.any():
             leader = np.minimum.reduceat(ids, starts)
             inside = big[run]
-            yield _count_pairs([np.stack([leader[run[inside]], ids[inside], sizes[inside], sizes[inside], np.full(inside.sum(), -never)])])
+            yield _count_pairs([np.stack([leader[run[inside]], ids[inside], sizes[inside], np.full(inside.sum(), -never)])])
         alive = np.flatnonzero(~big[run])
         held: list[np.ndarray] = []
         waiting = 0
@@ -198,7 +198,7 @@ def _tile_hits(threshold: float, crowd: int, never: int):
                 x, y = alive, alive + step
                 swap = ids[x] > ids[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                held.append(np.stack([ids[x], ids[y], sizes[x], sizes[y], np.ones(len(x), np.int64)]))
+                held.append(np.stack([ids[x], ids[y], np.maximum(sizes[x], sizes[y]), np.ones(len(x), np.int64)]))
                 waiting += len(x)
                 if waiting > 3_000_000:
                     held = [_count_pairs(held)]
@@ -251,7 +251,7 @@ def _array_rows(n: int):
             for part in slices(batch, "text"):
                 grams, bounds, ids = gram_sets(part.column("text"), n)
                 blobs = [grams[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["set_id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), pa.array(blobs, pa.binary())], ["doc_id", "set_id", "grams"])
 
     return run
 
@@ -309,14 +309,16 @@ _FOUND = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("overlap", pa
 
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        found = tile_pairs(table.column("set_id").to_numpy(), table.column("grams").to_pylist(), table.column("side").to_numpy(), threshold)
+        ids, first = np.unique(table.column("set_id").to_numpy(), return_index=True)
+        table = table.take(first)
+        found = tile_pairs(ids, table.column("grams").to_pylist(), table.column("side").to_numpy(), threshold)
         columns = list(zip(*found)) if found else [[], [], [], []]
         return pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, frequent_least: int = 50, frequent_most: int = 1 << 20, crowd: int = 64, block: int = 1000) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, frequent_least: int = 50, frequent_most: int = 1 << 20, crowd: int = 256, block: int = 1000) -> DataFrame:
     """Pairs doc_a < doc_b with their n-gram overlap and Jaccard similarity, at least `threshold`.
 
     docs needs doc_id and text; further columns are ignored.  The result stands for all
@@ -339,8 +341,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     packed = docs.mapInArrow(_postings(n, threshold, common, 4 * partitions, frequent), _PACKED_SQL)
     never = 1_000_000
     hits = packed.repartition(partitions, "bucket").mapInArrow(_tile_hits(threshold, crowd, never), _HITS_SQL)
-    hits = hits.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum(F.col("hits").cast("long")).alias("hits"))
-    enough = F.least(F.lit(common), F.ceil(F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9))
+    hits = hits.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.sum(F.col("hits").cast("long")).alias("hits"))
+    enough = F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9))
     hits = written(hits.where((F.col("hits") < 0) | (F.col("hits") >= enough)), "hits")
 
     # a tile is named by the smallest partner of a pair's first set
@@ -359,9 +361,12 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     seats = seats.select("set_id", "tile", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"))
 
-    arrays = docs.mapInArrow(_array_rows(n), "set_id long, grams binary")
-    arrays = semi_by_key(arrays, seats.select("set_id").distinct(), "set_id").dropDuplicates(["set_id"])
-    tiles = seats.join(arrays, "set_id")
+    # one text of each seated set brings the array, straight to its tiles
+    seats = written(seats.join(firsts.select("set_id", F.col("first").alias("doc_id")), "set_id").drop("set_id"), "seated")
+    if seats.count() <= BROADCAST_ROWS:
+        seats = F.broadcast(seats)
+    arrays = docs.mapInArrow(_array_rows(n), "doc_id long, set_id long, grams binary")
+    tiles = arrays.join(seats, "doc_id").select("tile", "low", "high", "side", "set_id", "grams")
     found = tiles.groupBy("tile", "low", "high").applyInArrow(_verify(threshold), _FOUND_SQL).dropDuplicates(["set_a", "set_b"])
 
     a, b = firsts.select(F.col("set_id").alias("set_a"), F.col("first").alias("x")), firsts.select(F.col("set_id").alias("set_b"), F.col("first").alias("y"))

@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import decontaminate, jaccard, language_id, mixing, wavelet
+
+#: A public byte-level vocabulary; any rank file of that kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Target weights by source; a source that isn't named has weight 1.
+WEIGHTS = {"src0": 2.0, "src1": 0.5}
+BUDGET_SHARE = 0.9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +23,31 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted documents with their language; those of narrow margin are left out."""
+    found = language_id.identify(_table(spark, sf_dir, "documents")).where("identified.language is not null")
+    return found.select("doc_id", "identified.language", "identified.size", "identified.runner_up", "identified.margin")
+
+
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.shards(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS, budget_share=BUDGET_SHARE)
+    return mixed.select("doc_id", "source", "tokens", "virtual_finish")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
+    "op6_wavelet_shards": op6_wavelet_shards,
+    "op8_fair_mix": op8_fair_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +66,15 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT s.first, d.doc_id, s.size::INTEGER, 1.0::DOUBLE FROM g d JOIN sets s ON d.g = s.g WHERE d.doc_id > s.first
     """,
+    "op8_fair_mix": r"""
+        WITH t AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS s FROM documents),
+        d AS (
+            SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS key, md5(text) AS tie,
+                CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS tokens FROM t),
+        f AS (
+            SELECT *, (sum(tokens) OVER (PARTITION BY source ORDER BY key, tie ROWS UNBOUNDED PRECEDING))::BIGINT::DOUBLE
+                / CASE source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS finish FROM d),
+        r AS (SELECT *, sum(tokens) OVER (ORDER BY finish, key, tie ROWS UNBOUNDED PRECEDING) AS served, sum(tokens) OVER () AS total FROM f)
+        SELECT doc_id, source, tokens::BIGINT AS tokens, finish AS virtual_finish FROM r WHERE served <= floor(total::DOUBLE * 0.9::DOUBLE)
+    """,
 }
