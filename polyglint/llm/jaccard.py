@@ -47,10 +47,15 @@ def gram_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, bounds, ids.view(np.int64)
 
 
-def prefix_length(sizes: np.ndarray, threshold: float, common: int) -> np.ndarray:
-    """So many first n-grams of a set that two similar sets share `common` of them, or all they must share."""
+def asked(sizes: np.ndarray, common: int, share: float) -> np.ndarray:
+    """Prefix n-grams that a similar pair must share, by the smaller set's size."""
+    return np.maximum(common, np.ceil(share * sizes - 1e-9).astype(np.int64))
+
+
+def prefix_length(sizes: np.ndarray, threshold: float, common: int, share: float) -> np.ndarray:
+    """So many first n-grams of a set that two similar sets share as many of them as asked, or all they must share."""
     need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-    return np.minimum(sizes, sizes - need + common)
+    return np.minimum(sizes, sizes - need + asked(sizes, common, share))
 
 
 def _frequent_local(n: int):
@@ -96,7 +101,7 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _postings(n: int, threshold: float, common: int, buckets: int, frequent):
+def _postings(n: int, threshold: float, common: int, share: float, buckets: int, frequent):
     """Prefix n-grams, packed per bucket: 32 bits of hash and the place in the blob's own list of sets."""
 
     def run(batches):
@@ -121,7 +126,7 @@ def _postings(n: int, threshold: float, common: int, buckets: int, frequent):
                 grams, owner = grams[order], owner[order]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
                 rank = np.arange(len(owner)) - ends[owner]
-                chosen = rank < prefix_length(sizes, threshold, common)[owner]
+                chosen = rank < prefix_length(sizes, threshold, common, share)[owner]
                 grams, owner = grams[chosen], owner[chosen]
                 bucket = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -142,12 +147,12 @@ def _postings(n: int, threshold: float, common: int, buckets: int, frequent):
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 _PACKED_SQL = "bucket int, grams binary, places binary, ids binary, sizes binary"
-_HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("larger", pa.int32()), ("hits", pa.int32())])
-_HITS_SQL = "a long, b long, larger int, hits int"
+_HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("hits", pa.int32())])
+_HITS_SQL = "a long, b long, need int, hits int"
 
 
 def _count_pairs(left: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, larger size, hits) summed over equal a, b."""
+    """Rows (a, b, hits needed, hits) summed over equal a, b."""
     rows = np.concatenate(left, axis=1)
     order = np.lexsort((rows[1], rows[0]))
     rows = rows[:, order]
@@ -158,7 +163,7 @@ def _count_pairs(left: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile_hits(threshold: float, crowd: int, never: int):
+def _tile_hits(threshold: float, common: int, share: float, crowd: int, never: int):
     """Pairs of sets that share a prefix n-gram, with how many they share in this partition.
 
     A n-gram of more than `crowd` sets gives no pairs but links of all of them to their
@@ -198,7 +203,9 @@ def _tile_hits(threshold: float, crowd: int, never: int):
                 x, y = alive, alive + step
                 swap = ids[x] > ids[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                held.append(np.stack([ids[x], ids[y], np.maximum(sizes[x], sizes[y]), np.ones(len(x), np.int64)]))
+                small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+                need = np.minimum(asked(small, common, share), np.ceil(threshold * large - 1e-9).astype(np.int64))
+                held.append(np.stack([ids[x], ids[y], need, np.ones(len(x), np.int64)]))
                 waiting += len(x)
                 if waiting > 3_000_000:
                     held = [_count_pairs(held)]
@@ -318,7 +325,7 @@ def _verify(threshold: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, frequent_least: int = 50, frequent_most: int = 1 << 20, crowd: int = 256, block: int = 1000) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, frequent_least: int = 50, frequent_most: int = 1 << 20, crowd: int = 256, block: int = 1000) -> DataFrame:
     """Pairs doc_a < doc_b with their n-gram overlap and Jaccard similarity, at least `threshold`.
 
     docs needs doc_id and text; further columns are ignored.  The result stands for all
@@ -327,7 +334,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     and all similar pairs of representatives are listed.  Texts without words, null or
     empty, are similar to nothing; a text of fewer than n words is one n-gram.  Rows
     without doc_id are ignored, repeated rows of one doc_id with equal text count once.
-    An empty table gives no rows.  frequent_*, common, crowd and block steer the work
+    An empty table gives no rows.  frequent_*, common, share, crowd and block steer the work
     only, never the result.
     """
     spark = docs.sparkSession
@@ -338,12 +345,11 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     members = written(docs.mapInArrow(_set_rows(n), "doc_id long, set_id long, size int").where("size > 0").distinct(), "sets")
     firsts = members.groupBy("set_id", "size").agg(F.min("doc_id").alias("first"))
 
-    packed = docs.mapInArrow(_postings(n, threshold, common, 4 * partitions, frequent), _PACKED_SQL)
+    packed = docs.mapInArrow(_postings(n, threshold, common, share, 4 * partitions, frequent), _PACKED_SQL)
     never = 1_000_000
-    hits = packed.repartition(partitions, "bucket").mapInArrow(_tile_hits(threshold, crowd, never), _HITS_SQL)
-    hits = hits.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.sum(F.col("hits").cast("long")).alias("hits"))
-    enough = F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9))
-    hits = written(hits.where((F.col("hits") < 0) | (F.col("hits") >= enough)), "hits")
+    hits = packed.repartition(partitions, "bucket").mapInArrow(_tile_hits(threshold, common, share, crowd, never), _HITS_SQL)
+    hits = hits.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum(F.col("hits").cast("long")).alias("hits"))
+    hits = written(hits.where((F.col("hits") < 0) | (F.col("hits") >= F.col("need"))), "hits")
 
     # a tile is named by the smallest partner of a pair's first set
     pairs = hits.where("hits > 0 and a <> b")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, mixing, wavelet
+from . import decontaminate, html_consensus, jaccard, language_id, mixing, ordinal, quality_rules, secrets, warc, wavelet
 
 #: A public byte-level vocabulary; any rank file of that kind will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -19,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(_table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -37,17 +46,37 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.shards(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS, budget_share=BUDGET_SHARE)
     return mixed.select("doc_id", "source", "tokens", "virtual_finish")
 
 
+def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives with dictionaries, read back and validated record by record."""
+    records = warc.read_records(warc.pack_pages(_table(spark, sf_dir, "pages")))
+    page = F.col("headers").getItem("x-page-id").cast("long").alias("page_id")
+    return records.select(page, F.col("uri").alias("url"), "type", "length", F.decode("block", "utf-8").alias("html"), "error")
+
+
+def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_wavelet_shards": op6_wavelet_shards,
+    "op7_ordinal_quality": op7_ordinal_quality,
     "op8_fair_mix": op8_fair_mix,
+    "op9_warc_reader": op9_warc_reader,
+    "op10_html_consensus": op10_html_consensus,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +106,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, sum(tokens) OVER (ORDER BY finish, key, tie ROWS UNBOUNDED PRECEDING) AS served, sum(tokens) OVER () AS total FROM f)
         SELECT doc_id, source, tokens::BIGINT AS tokens, finish AS virtual_finish FROM r WHERE served <= floor(total::DOUBLE * 0.9::DOUBLE)
     """,
+    "op9_warc_reader": """
+        SELECT page_id, url, 'resource' AS type, strlen(html)::BIGINT AS length, html, NULL::VARCHAR AS error FROM pages
+    """,
 }
