@@ -9,35 +9,70 @@ Documents are joined with the fences of their group and filtered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import tokens
+from .jaccard import slices
 from .shared import written
 
-#: Features of a text, each a whole number; shares are in thousandths of the characters that aren't blank.
+#: Features of a text, each a whole number.
 FEATURES = ("symbols", "digits", "capitals", "word_length", "repeated_lines")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """symbols, digits, capitals: thousandths of the non-blank characters; word_length:
-    hundredths of a character per word; repeated_lines: thousandths of the non-empty lines
-    that repeat an earlier one."""
-    text = F.coalesce(text, F.lit(""))
-    solid = F.regexp_replace(text, r"[ \t\r\n]+", "")
-    letters = F.regexp_replace(solid, r"[^A-Za-z\x{80}-\x{10FFFF}]", "")
-    size = F.length(solid)
-    words = F.length(F.regexp_replace(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), r"[^ ]", "")) + 1
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
-    whole = lambda top, bottom: F.when(bottom > 0, F.floor(top.cast("long") / bottom.cast("long"))).otherwise(F.lit(0)).cast("int")
-    digits = F.length(solid) - F.length(F.regexp_replace(solid, r"[0-9]", ""))
-    return {
-        "symbols": whole(1000 * (size - F.length(letters) - digits), size),
-        "digits": whole(1000 * digits, size),
-        "capitals": whole(1000 * (F.length(letters) - F.length(F.regexp_replace(letters, r"[A-Z]", ""))), size),
-        "word_length": whole(100 * size, words),
-        "repeated_lines": whole(1000 * (F.size(lines) - F.size(F.array_distinct(lines))), F.size(lines)),
-    }
+#: Added to the size of a text in shares, so that a few characters don't make an extreme.
+EASE = 30
+_KIND = np.full(256, 1, dtype=np.uint8)  # 0 blank, 1 symbol, 2 digit, 3 letter, 4 capital, 5 inside a character
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[48:58] = 2
+_KIND[97:123] = 3
+_KIND[192:] = 3
+_KIND[65:91] = 4
+_KIND[128:192] = 5
+
+
+def features(texts) -> list[np.ndarray]:
+    """The features of each text of an Arrow string array, in the order of FEATURES.
+
+    symbols, digits, capitals (A to Z): thousandths of the non-blank characters plus EASE;
+    letters are A to Z in both cases and all characters beyond ASCII.  word_length:
+    hundredths of a character per blank-separated word.  repeated_lines: thousandths of
+    the non-empty lines that equal an earlier one.  All are 0 for null and empty texts.
+    """
+    data, offsets = tokens.utf8(texts)
+    kind = _KIND[data]
+
+    def counts(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return total[offsets[1:]] - total[offsets[:-1]]
+
+    symbols, digits, capitals = counts(kind == 1), counts(kind == 2), counts(kind == 4)
+    solid = counts((kind != 0) & (kind != 5))
+    first = kind != 0
+    if len(first):
+        following = first[:-1].copy()
+        following[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(first))] - 1] = False
+        first[1:] &= ~following
+    words = counts(first)
+    repeated = []
+    for text in texts.to_pylist():
+        lines = [x for x in text.split("\n") if x] if text else []
+        repeated.append((1000 * (len(lines) - len(set(lines))) // len(lines)) if lines else 0)
+    share = lambda n: (1000 * n // (solid + EASE)).astype(np.int32)
+    return [share(symbols), share(digits), share(capitals), (100 * solid // np.maximum(words, 1)).astype(np.int32), np.array(repeated, dtype=np.int32)]
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = [pa.array(x, pa.int32()) for x in features(part.column("text"))]
+            kept = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], *found], [*kept, *FEATURES])
 
 
 def sketches(slim: DataFrame) -> DataFrame:
@@ -62,7 +97,7 @@ def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 #: Smallest distance from the quartiles to the fences, so that a narrow group doesn't reject ordinary texts.
-FLOORS = {"symbols": 100, "digits": 100, "capitals": 150, "word_length": 300, "repeated_lines": 300}
+FLOORS = {"symbols": 60, "digits": 250, "capitals": 150, "word_length": 600, "repeated_lines": 400}
 
 
 def fences(sketch: DataFrame, times: int, least: int) -> DataFrame:
@@ -94,8 +129,8 @@ def judged(docs: DataFrame, times: int = 3, least: int = 50) -> DataFrame:
     gives no rows.
     """
     name = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-    slim = docs.select(F.col("doc_id"), name("lang").alias("lang"), name("source").alias("source"), *[c.alias(n) for n, c in features(F.col("text").cast("string")).items()])
-    slim = written(slim, "features")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name("lang").alias("lang"), name("source").alias("source"), F.col("text").cast("string").alias("text"))
+    slim = written(slim.mapInArrow(_feature_rows, "doc_id long, lang string, source string, " + ", ".join(f"{f} int" for f in FEATURES)), "features")
     bounds = fences(sketches(slim), times, least)
     wide = bounds.groupBy("lang", "source").agg(*[f(F.when(F.col("feature") == n, F.col(c))).alias(f"{c}_{n}") for n in FEATURES for f, c in ((F.max, "low"), (F.max, "high"))])
     # one row per group: small beside the documents, and the planner broadcasts it while it is

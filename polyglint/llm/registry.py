@@ -80,6 +80,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, lang, source, text, regexp_replace(text, '[ \t\r\n]+', '', 'g') AS solid,
+                trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS spaced, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+        c AS (
+            SELECT *, length(solid) AS size, length(regexp_replace(solid, '[0-9A-Za-z\x{80}-\x{10ffff}]', '', 'g')) AS sym,
+                length(regexp_replace(solid, '[^0-9]', '', 'g')) AS dig, length(regexp_replace(solid, '[^A-Z]', '', 'g')) AS cap,
+                CASE WHEN spaced = '' THEN 1 ELSE length(spaced) - length(replace(spaced, ' ', '')) + 1 END AS words FROM t),
+        f AS (
+            SELECT doc_id, lang, source, 1000 * sym // (size + 30) AS symbols, 1000 * dig // (size + 30) AS digits, 1000 * cap // (size + 30) AS capitals,
+                100 * size // words AS word_length,
+                CASE WHEN len(lines) = 0 THEN 0 ELSE 1000 * (len(lines) - len(list_distinct(lines))) // len(lines) END AS repeated_lines FROM c),
+        u AS (UNPIVOT f ON symbols, digits, capitals, word_length, repeated_lines INTO NAME feature VALUE value),
+        q AS (
+            SELECT lang, source, feature, count(*) AS n, min(value) FILTER (own_rank * 4 >= own_n) AS own1, min(value) FILTER (own_rank * 4 >= own_n * 3) AS own3,
+                any_value(lang_n) AS lang_n
+            FROM (SELECT *, rank() OVER (PARTITION BY lang, source, feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY lang, source, feature, value) AS own_rank,
+                count(*) OVER (PARTITION BY lang, source, feature) AS own_n, count(*) OVER (PARTITION BY lang, feature) AS lang_n FROM u) GROUP BY ALL),
+        l AS (
+            SELECT lang, feature, min(value) FILTER (r * 4 >= n) AS l1, min(value) FILTER (r * 4 >= n * 3) AS l3
+            FROM (SELECT *, rank() OVER (PARTITION BY lang, feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY lang, feature, value) AS r,
+                count(*) OVER (PARTITION BY lang, feature) AS n FROM u) GROUP BY ALL),
+        a AS (
+            SELECT feature, min(value) FILTER (r * 4 >= n) AS a1, min(value) FILTER (r * 4 >= n * 3) AS a3
+            FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) AS r,
+                count(*) OVER (PARTITION BY feature) AS n FROM u) GROUP BY ALL),
+        p AS (
+            SELECT q.lang, q.source, q.feature, CASE WHEN q.n >= 50 THEN own1 WHEN q.lang_n >= 50 THEN l1 ELSE a1 END AS q1,
+                CASE WHEN q.n >= 50 THEN own3 WHEN q.lang_n >= 50 THEN l3 ELSE a3 END AS q3,
+                CASE q.feature WHEN 'symbols' THEN 60 WHEN 'digits' THEN 250 WHEN 'capitals' THEN 150 WHEN 'word_length' THEN 600 ELSE 400 END AS floor
+            FROM q JOIN l USING (lang, feature) JOIN a USING (feature)),
+        bad AS (SELECT DISTINCT doc_id FROM u JOIN p USING (lang, source, feature)
+            WHERE value < q1 - greatest(3 * (q3 - q1), floor) OR value > q3 + greatest(3 * (q3 - q1), floor))
+        SELECT doc_id, lang, source, symbols::INTEGER AS symbols, digits::INTEGER AS digits, capitals::INTEGER AS capitals, word_length::INTEGER AS word_length,
+            repeated_lines::INTEGER AS repeated_lines FROM f WHERE doc_id NOT IN (SELECT doc_id FROM bad)
+    """,
     "op3_ngram_jaccard": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents),
         g AS (
