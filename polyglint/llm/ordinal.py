@@ -67,7 +67,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(places: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 2e-5, rounds: int = 150, rate: float = 0.05) -> Ordinal:
+def fit(places: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 5e-5, rounds: int = 200, rate: float = 0.05) -> Ordinal:
     """Maximum likelihood with a ridge on the weights, by full-batch Adam.
 
     Thresholds are a first one and the logarithms of the steps to the next, so they stay
@@ -160,6 +160,6 @@ def grade(docs: DataFrame, model: Ordinal, good: int = 2) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail double")
 
 
-def select(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, good: int = 2, **options) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, least_tail: float = 0.6, good: int = 2, **options) -> DataFrame:
     """Ids, expected grades and tail probabilities of documents that are `good` with probability least_tail."""
     return grade(docs, train(docs, ratings(labels), **options), good).where(F.col("tail") >= least_tail)
