@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,59 +59,23 @@ def prefix_length(sizes: np.ndarray, threshold: float, common: int, share: float
     return np.minimum(sizes, sizes - need + asked(sizes, common, share))
 
 
-def _frequent_local(n: int):
-    def run(batches):
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found.append(gram_sets(part.column("text"), n)[0])
-        if found:
-            grams = np.sort(np.concatenate(found))
-            new = np.concatenate([[True], grams[1:] != grams[:-1]])
-            starts = np.flatnonzero(new)
-            counts = np.diff(np.append(starts, len(grams)))
-            keep = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(grams[starts][keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["gram", "seen"])
-
-    return run
+_SPREAD = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_SPREAD_SQL = "bucket int, batch long, grams binary, counts binary, ids binary, sizes binary"
 
 
-def frequent_grams(docs: DataFrame, n: int, least: int, most: int) -> np.ndarray:
-    """At most `most` frequent n-grams, sorted.
+def _spread(n: int, buckets: int):
+    """All n-grams of all sets, packed per batch of texts and bucket: 32 bits each, in the order of the sets.
 
-    Counts of all texts, summed over partitions in which an n-gram occurs more than
-    once.  The list only steers the prefix order, so any list gives the same result.
+    Bucket and 32 bits stand for an n-gram from here on: two that fall together only add
+    candidates.  One more row per batch holds the sets themselves.
     """
-    counted = docs.select("text").mapInArrow(_frequent_local(n), "gram long, seen long").groupBy("gram").agg(F.sum("seen").alias("seen"))
-    top = counted.where(F.col("seen") >= least).orderBy(F.desc("seen"), "gram").limit(most)
-    table = top.select("gram").toArrow()
-    return np.sort(table.column("gram").to_numpy().view(np.uint64)) if table.num_rows else np.zeros(0, np.uint64)
-
-
-def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Membership in a sorted table, with a bitmap before the binary search."""
-    out = np.zeros(len(values), dtype=bool)
-    if not len(table):
-        return out
-    bitmap = np.zeros(1 << 22, dtype=bool)
-    bitmap[(table >> np.uint64(42)).astype(np.int64)] = True
-    maybe = np.flatnonzero(bitmap[(values >> np.uint64(42)).astype(np.int64)])
-    at = np.searchsorted(table, values[maybe])
-    at[at == len(table)] = 0
-    out[maybe[table[at] == values[maybe]]] = True
-    return out
-
-
-def _postings(n: int, threshold: float, common: int, share: float, buckets: int, frequent):
-    """Prefix n-grams, packed per bucket: 32 bits of hash and the place in the blob's own list of sets."""
 
     def run(batches):
-        heavy = frequent.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text"):
                 grams, bounds, ids = gram_sets(part.column("text"), n)
                 ids, first = np.unique(ids, return_index=True)
-                sizes = np.diff(bounds)[first]
                 keep = np.zeros(len(bounds) - 1, dtype=bool)
                 keep[first] = True
                 place = np.zeros(len(bounds) - 1, dtype=np.int64)
@@ -120,33 +85,113 @@ def _postings(n: int, threshold: float, common: int, share: float, buckets: int,
                 grams, owner = grams[mine], place[owner[mine]]
                 if not len(grams):
                     continue
-                late = _is_in(grams, heavy)
-                # n-grams are already sorted by hash within a text; frequent ones go last
-                order = np.lexsort((late, owner))
-                grams, owner = grams[order], owner[order]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
-                rank = np.arange(len(owner)) - ends[owner]
-                chosen = rank < prefix_length(sizes, threshold, common, share)[owner]
-                grams, owner = grams[chosen], owner[chosen]
                 bucket = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, low, owner = bucket[order], grams[order].astype(np.uint32), owner[order].astype(np.uint16)
-                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                rows: dict[str, list] = {"bucket": [], "grams": [], "places": [], "ids": [], "sizes": []}
-                for lo, hi in zip(starts, np.append(starts[1:], len(bucket))):
-                    used, local = np.unique(owner[lo:hi], return_inverse=True)
-                    rows["bucket"].append(int(bucket[lo]))
-                    rows["grams"].append(low[lo:hi].tobytes())
-                    rows["places"].append(local.astype(np.uint16).tobytes())
-                    rows["ids"].append(ids[used].tobytes())
-                    rows["sizes"].append(sizes[used].astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_pydict(rows, schema=_PACKED)
+                keys = bucket * len(first) + owner
+                order = np.argsort(keys, kind="stable")
+                per_set = np.bincount(keys, minlength=buckets * len(first)).reshape(buckets, len(first)).astype(np.uint16)
+                low = grams[order].astype(np.uint32)
+                ends = np.concatenate([[0], np.cumsum(per_set.sum(axis=1, dtype=np.int64))])
+                used = [k for k in range(buckets) if ends[k + 1] > ends[k]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*used, number % buckets], pa.int32()),
+                        pa.array([number] * (len(used) + 1), pa.int64()),
+                        pa.array([*[low[ends[k] : ends[k + 1]].tobytes() for k in used], None], pa.binary()),
+                        pa.array([*[per_set[k].tobytes() for k in used], None], pa.binary()),
+                        pa.array([*[None] * len(used), ids.tobytes()], pa.binary()),
+                        pa.array([*[None] * len(used), np.diff(bounds)[first].astype(np.int32).tobytes()], pa.binary()),
+                    ],
+                    schema=_SPREAD,
+                )
+                number += 1
+
+    return run
+
+
+_SHARED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("rarity", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_SHARED_SQL = "batch long, bucket int, grams binary, places binary, rarity binary, ids binary, sizes binary"
+
+
+def _shared(batches):
+    """Of each batch's n-grams those that another set has too, with the binary logarithm of how many sets have it."""
+    by: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["grams"] is None:
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "bucket": None, "grams": None, "places": None, "rarity": None, "ids": row["ids"], "sizes": row["sizes"]}], schema=_SHARED)
+            else:
+                by.setdefault(row["bucket"], []).append((row["batch"], row["grams"], row["counts"]))
+    for bucket in sorted(by):
+        blobs = by.pop(bucket)
+        grams = np.frombuffer(b"".join(g for _, g, _ in blobs), np.uint32)
+        order = np.argsort(grams, kind="stable")
+        ordered = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        seen = np.diff(np.append(starts, len(ordered)))
+        level = np.zeros(len(grams), dtype=np.uint8)
+        level[order] = np.repeat(np.log2(seen).astype(np.uint8) + (seen > 1), seen)
+        rows: dict[str, list] = {f.name: [] for f in _SHARED}
+        at = 0
+        for name, blob, counts in blobs:
+            size = len(blob) // 4
+            mine = np.flatnonzero(level[at : at + size])
+            if len(mine):
+                per_set = np.frombuffer(counts, np.uint16)
+                places = np.repeat(np.arange(len(per_set), dtype=np.uint16), per_set)
+                for key, value in (("batch", name), ("bucket", bucket), ("grams", grams[at : at + size][mine].tobytes()), ("places", places[mine].tobytes()), ("rarity", level[at : at + size][mine].tobytes()), ("ids", None), ("sizes", None)):
+                    rows[key].append(value)
+            at += size
+        if rows["batch"]:
+            yield pa.RecordBatch.from_pydict(rows, schema=_SHARED)
+
+
+def _prefixes(threshold: float, common: int, share: float):
+    """Postings of the prefix n-grams that another set has too, packed per bucket.
+
+    A set's order is rarest first: n-grams of its own, which can meet nothing and aren't
+    listed, then the shared ones by how many sets have them.
+    """
+
+    def run(batches):
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["ids"] is not None:
+                    sets[row["batch"]] = (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64))
+                else:
+                    held.setdefault(row["batch"], []).append(row)
+        out: list[tuple[np.ndarray, ...]] = []
+        for name in sorted(held):
+            rows = held.pop(name)
+            ids, sizes = sets[name]
+            grams = np.frombuffer(b"".join(r["grams"] for r in rows), np.uint32)
+            places = np.frombuffer(b"".join(r["places"] for r in rows), np.uint16).astype(np.int64)
+            level = np.frombuffer(b"".join(r["rarity"] for r in rows), np.uint8)
+            bucket = np.repeat([r["bucket"] for r in rows], [len(r["grams"]) // 4 for r in rows])
+            shared = np.bincount(places, minlength=len(ids))
+            wanted = prefix_length(sizes, threshold, common, share) - (sizes - shared)
+            some = wanted[places] > 0
+            grams, places, level, bucket = grams[some], places[some], level[some], bucket[some]
+            order = np.lexsort((grams, bucket, level, places))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(ids)))])
+            ranked = places[order]
+            chosen = order[np.arange(len(order)) - starts[ranked] < wanted[ranked]]
+            out.append((bucket[chosen], grams[chosen], ids[places[chosen]], sizes[places[chosen]].astype(np.int32)))
+        if not out:
+            return
+        bucket, grams, ids, sizes = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(bucket, kind="stable")
+        bucket, grams, ids, sizes = bucket[order], grams[order], ids[order], sizes[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        for lo, hi in zip(starts, np.append(starts[1:], len(bucket))):
+            yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[lo])], "grams": [grams[lo:hi].tobytes()], "ids": [ids[lo:hi].tobytes()], "sizes": [sizes[lo:hi].tobytes()]}, schema=_PACKED)
 
     return run
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
-_PACKED_SQL = "bucket int, grams binary, places binary, ids binary, sizes binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_PACKED_SQL = "bucket int, grams binary, ids binary, sizes binary"
 _HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("hits", pa.int32())])
 _HITS_SQL = "a long, b long, need int, hits int"
 
@@ -221,8 +266,7 @@ def _tile_hits(threshold: float, common: int, share: float, crowd: int, never: i
         by: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                place = np.frombuffer(row["places"], np.uint16)
-                by.setdefault(row["bucket"], []).append((np.frombuffer(row["grams"], np.uint32), np.frombuffer(row["ids"], np.int64)[place], np.frombuffer(row["sizes"], np.int32)[place]))
+                by.setdefault(row["bucket"], []).append((np.frombuffer(row["grams"], np.uint32), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)))
         for bucket in sorted(by):
             for rows in one(by.pop(bucket)):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])] + [pa.array(r.astype(np.int32)) for r in rows[2:]], schema=_HITS)
@@ -325,7 +369,7 @@ def _verify(threshold: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, frequent_least: int = 50, frequent_most: int = 1 << 20, crowd: int = 256, block: int = 1000) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, crowd: int = 256, block: int = 1000) -> DataFrame:
     """Pairs doc_a < doc_b with their n-gram overlap and Jaccard similarity, at least `threshold`.
 
     docs needs doc_id and text; further columns are ignored.  The result stands for all
@@ -334,18 +378,19 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     and all similar pairs of representatives are listed.  Texts without words, null or
     empty, are similar to nothing; a text of fewer than n words is one n-gram.  Rows
     without doc_id are ignored, repeated rows of one doc_id with equal text count once.
-    An empty table gives no rows.  frequent_*, common, share, crowd and block steer the work
-    only, never the result.
+    An empty table gives no rows.  common, share, crowd and block steer the work only, never
+    the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    frequent = spark.sparkContext.broadcast(frequent_grams(docs, n, frequent_least, frequent_most))
     partitions = shuffle_partitions(spark)
 
     members = written(docs.mapInArrow(_set_rows(n), "doc_id long, set_id long, size int").where("size > 0").distinct(), "sets")
     firsts = members.groupBy("set_id", "size").agg(F.min("doc_id").alias("first"))
 
-    packed = docs.mapInArrow(_postings(n, threshold, common, share, 4 * partitions, frequent), _PACKED_SQL)
+    spread = docs.mapInArrow(_spread(n, 4 * partitions), _SPREAD_SQL)
+    shared = spread.repartition(partitions, "bucket").mapInArrow(_shared, _SHARED_SQL)
+    packed = shared.repartition(partitions, "batch").mapInArrow(_prefixes(threshold, common, share), _PACKED_SQL)
     never = 1_000_000
     hits = packed.repartition(partitions, "bucket").mapInArrow(_tile_hits(threshold, common, share, crowd, never), _HITS_SQL)
     hits = hits.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum(F.col("hits").cast("long")).alias("hits"))
