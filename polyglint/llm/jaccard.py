@@ -59,6 +59,17 @@ def prefix_length(sizes: np.ndarray, threshold: float, common: int, share: float
     return np.minimum(sizes, sizes - need + asked(sizes, common, share))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers in one, two or four bytes each, after a byte that tells which."""
+    most = int(values.max(initial=0))
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def _back(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]], offset=1)
+
+
 _SPREAD = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 _SPREAD_SQL = "bucket int, batch long, grams binary, counts binary, ids binary, sizes binary"
 
@@ -88,7 +99,7 @@ def _spread(n: int, buckets: int):
                 bucket = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 keys = bucket * len(first) + owner
                 order = np.argsort(keys, kind="stable")
-                per_set = np.bincount(keys, minlength=buckets * len(first)).reshape(buckets, len(first)).astype(np.uint16)
+                per_set = np.bincount(keys, minlength=buckets * len(first)).reshape(buckets, len(first))
                 low = grams[order].astype(np.uint32)
                 ends = np.concatenate([[0], np.cumsum(per_set.sum(axis=1, dtype=np.int64))])
                 used = [k for k in range(buckets) if ends[k + 1] > ends[k]]
@@ -97,7 +108,7 @@ def _spread(n: int, buckets: int):
                         pa.array([*used, number % buckets], pa.int32()),
                         pa.array([number] * (len(used) + 1), pa.int64()),
                         pa.array([*[low[ends[k] : ends[k + 1]].tobytes() for k in used], None], pa.binary()),
-                        pa.array([*[per_set[k].tobytes() for k in used], None], pa.binary()),
+                        pa.array([*[_small(per_set[k]) for k in used], None], pa.binary()),
                         pa.array([*[None] * len(used), ids.tobytes()], pa.binary()),
                         pa.array([*[None] * len(used), np.diff(bounds)[first].astype(np.int32).tobytes()], pa.binary()),
                     ],
@@ -108,17 +119,21 @@ def _spread(n: int, buckets: int):
     return run
 
 
-_SHARED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("rarity", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
-_SHARED_SQL = "batch long, bucket int, grams binary, places binary, rarity binary, ids binary, sizes binary"
+_SHARED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("levels", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_SHARED_SQL = "batch long, bucket int, grams binary, places binary, levels binary, ids binary, sizes binary"
 
 
 def _shared(batches):
-    """Of each batch's n-grams those that another set has too, with the binary logarithm of how many sets have it."""
+    """Of each batch's n-grams those that another set has too.
+
+    The shared n-grams of a bucket are numbered by how many sets have them, then by hash;
+    levels holds the first number of each binary order of magnitude.
+    """
     by: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for batch in batches:
         for row in batch.to_pylist():
             if row["grams"] is None:
-                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "bucket": None, "grams": None, "places": None, "rarity": None, "ids": row["ids"], "sizes": row["sizes"]}], schema=_SHARED)
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "bucket": None, "grams": None, "places": None, "levels": None, "ids": row["ids"], "sizes": row["sizes"]}], schema=_SHARED)
             else:
                 by.setdefault(row["bucket"], []).append((row["batch"], row["grams"], row["counts"]))
     for bucket in sorted(by):
@@ -128,17 +143,22 @@ def _shared(batches):
         ordered = grams[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         seen = np.diff(np.append(starts, len(ordered)))
-        level = np.zeros(len(grams), dtype=np.uint8)
-        level[order] = np.repeat(np.log2(seen).astype(np.uint8) + (seen > 1), seen)
+        many = np.flatnonzero(seen > 1)
+        many = many[np.argsort(seen[many], kind="stable")]
+        of_run = np.full(len(starts), -1, dtype=np.int64)
+        of_run[many] = np.arange(len(many))
+        number = np.empty(len(grams), dtype=np.int64)
+        number[order] = np.repeat(of_run, seen)
+        levels = np.searchsorted(seen[many], 2 ** np.arange(1, 40)).astype(np.uint32).tobytes()
         rows: dict[str, list] = {f.name: [] for f in _SHARED}
         at = 0
         for name, blob, counts in blobs:
             size = len(blob) // 4
-            mine = np.flatnonzero(level[at : at + size])
+            mine = np.flatnonzero(number[at : at + size] >= 0)
             if len(mine):
-                per_set = np.frombuffer(counts, np.uint16)
-                places = np.repeat(np.arange(len(per_set), dtype=np.uint16), per_set)
-                for key, value in (("batch", name), ("bucket", bucket), ("grams", grams[at : at + size][mine].tobytes()), ("places", places[mine].tobytes()), ("rarity", level[at : at + size][mine].tobytes()), ("ids", None), ("sizes", None)):
+                per_set = _back(counts)
+                places = np.repeat(np.arange(len(per_set)), per_set)
+                for key, value in (("batch", name), ("bucket", bucket), ("grams", _small(number[at : at + size][mine])), ("places", places[mine].astype(np.uint16).tobytes()), ("levels", levels), ("ids", None), ("sizes", None)):
                     rows[key].append(value)
             at += size
         if rows["batch"]:
@@ -165,10 +185,11 @@ def _prefixes(threshold: float, common: int, share: float):
         for name in sorted(held):
             rows = held.pop(name)
             ids, sizes = sets[name]
-            grams = np.frombuffer(b"".join(r["grams"] for r in rows), np.uint32)
+            parts = [_back(r["grams"]) for r in rows]
+            grams = np.concatenate(parts).astype(np.uint32)
+            level = np.concatenate([np.searchsorted(np.frombuffer(r["levels"], np.uint32), g, side="right") for r, g in zip(rows, parts)])
             places = np.frombuffer(b"".join(r["places"] for r in rows), np.uint16).astype(np.int64)
-            level = np.frombuffer(b"".join(r["rarity"] for r in rows), np.uint8)
-            bucket = np.repeat([r["bucket"] for r in rows], [len(r["grams"]) // 4 for r in rows])
+            bucket = np.repeat([r["bucket"] for r in rows], [len(g) for g in parts])
             shared = np.bincount(places, minlength=len(ids))
             wanted = prefix_length(sizes, threshold, common, share) - (sizes - shared)
             some = wanted[places] > 0
@@ -388,7 +409,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     members = written(docs.mapInArrow(_set_rows(n), "doc_id long, set_id long, size int").where("size > 0").distinct(), "sets")
     firsts = members.groupBy("set_id", "size").agg(F.min("doc_id").alias("first"))
 
-    spread = docs.mapInArrow(_spread(n, 4 * partitions), _SPREAD_SQL)
+    spread = docs.mapInArrow(_spread(n, 2 * partitions), _SPREAD_SQL)
     shared = spread.repartition(partitions, "bucket").mapInArrow(_shared, _SHARED_SQL)
     packed = shared.repartition(partitions, "batch").mapInArrow(_prefixes(threshold, common, share), _PACKED_SQL)
     never = 1_000_000
