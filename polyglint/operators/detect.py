@@ -4,19 +4,23 @@ p(lang | ngram) is the share of a language in the counts of an ngram.  A text's
 language is the sum of log p over its known ngrams, where p is dampened towards 1 and
 languages without the ngram get alpha; the posterior is the softmax over languages.
 
-Only matching (ngram, lang) rows are joined: every known ngram adds log f to all languages,
-with f the dampened alpha, and a matching row adds log p - log f to its language.
+Every known ngram adds log f to all languages, with f the dampened alpha; a language that
+has the ngram gains log p - log f on top.  Sums, softmax and order of a text's languages
+are columns of one row per text, so that detection has one small shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyglint.functions import text as T
+from polyglint.session import spread
 
 ALPHA = 2e-6
 DAMPENING = 1e-3
@@ -26,8 +30,8 @@ LEAST_POSTERIOR = 0.1
 GOOD_POSTERIOR = 0.99
 #: Known ngrams between two looks at the leading language.
 CHECK_EVERY = 110
-#: The language under which the number of known ngrams is summed.
-KNOWN = ""
+#: A table of ngrams of more rows than this isn't broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def probabilities(models: DataFrame) -> DataFrame:
@@ -50,22 +54,47 @@ def gains(probs: DataFrame, alpha: float = ALPHA, dampening: float = DAMPENING)
     return probs.select("ngram", "lang", (F.log(dampened(F.col("prob"), dampening)) - F.lit(floor_of(alpha, dampening))).alias("gain"))
 
 
-def scores(windows: DataFrame, gained: DataFrame, key: str, n: int = T.MAX_N) -> DataFrame:
-    """(key, lang, gain) and the number of known ngrams under lang KNOWN, from (key, w, tf).
+def wide(gained: DataFrame, langs: list[str]) -> DataFrame:
+    """(ngram, known, g0, g1, ...): one row per ngram with the gain of each language, 0 where it hasn't the ngram."""
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("gain"))), F.lit(0.0)).alias(f"g{i}") for i, l in enumerate(langs)]
+    return gained.groupBy("ngram").agg(F.lit(1.0).alias("known"), *each)
 
-    The distinct windows of all texts meet the model once; texts then meet the much
-    smaller table of window sums.
-    """
-    known = gained.select("ngram").distinct().select("ngram", F.lit(KNOWN).alias("lang"), F.lit(1.0).alias("gain"))
-    table = gained.unionByName(known)
-    distinct = T.prefixes(windows.select("w").distinct(), n)
-    per_window = distinct.join(table, "ngram").groupBy("w", "lang").agg(F.sum("gain").alias("gain"))
-    return windows.join(per_window, "w").groupBy(key, "lang").agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+
+def along_prefixes(table: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(w, columns...): for each ngram of table the sums over all its prefixes that are in table, itself included."""
+    rows = T.prefixes(table.select(F.col("ngram").alias("w")), n).join(table, "ngram")
+    return rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def term_windows(docs: DataFrame, key: str, text: str, n: int = T.MAX_N) -> DataFrame:
-    """(key, w, tf)."""
-    return T.explode_windows(docs, text, [key], n).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
+def text_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, text: str, n: int = T.MAX_N, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(key, ngrams, columns...): sums of table's columns over all ngram occurrences of each text.
+
+    Up to `limit` ngrams the table is broadcast with its sums along prefixes: a position of
+    a text looks up the longest known ngram that starts there, so that text rows are
+    neither multiplied nor shuffled, and only one partial sum per text leaves a task.  A
+    larger table meets the distinct windows of each text in a shuffled join.  Null texts
+    have no ngrams and sums of 0.
+    """
+    windows = spread(docs.select(key, text)).select(key, F.explode_outer(T.windows(T.normalize(F.col(text)), n)).alias("w"))
+    sums = along_prefixes(table, columns, n)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    if table.count() <= limit:
+        rows = windows
+        for k in range(n, 0, -1):
+            part = sums.where(F.length("w") == k).select(F.col("w").alias(f"w{k}"), F.struct(*columns).alias(f"s{k}"))
+            rows = rows.join(F.broadcast(part), F.substring("w", 1, k) == F.col(f"w{k}"), "left")
+        found = F.coalesce(*[F.col(f"s{k}") for k in range(n, 0, -1)])
+        rows = rows.select(key, F.length("w").alias("size"), *[found[c].alias(c) for c in columns])
+        return rows.groupBy(key).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("ngrams"), *[total(c).alias(c) for c in columns])
+    terms = windows.groupBy(key, "w").agg(F.count("w").alias("tf"))
+    met = T.prefixes(terms.select("w").distinct(), n).join(table, "ngram").groupBy("w").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = terms.join(met, "w", "left")
+    return rows.groupBy(key).agg(F.coalesce(F.sum(F.col("tf") * F.length("w")), F.lit(0)).alias("ngrams"), *[total(F.col("tf") * F.col(c)).alias(c) for c in columns])
+
+
+def language_list(models: DataFrame) -> list[str]:
+    """The languages of a model set, in order; they are few."""
+    return [r.lang for r in models.select("lang").distinct().orderBy("lang").collect()]
 
 
 def softmax(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -77,27 +106,37 @@ def softmax(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame
     return rows.withColumn("posterior", F.col("__weight") / F.sum("__weight").over(by)).drop("__top", "__weight")
 
 
-def posteriors(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, priors: DataFrame | None = None) -> DataFrame:
-    """(key, lang, known, score, posterior) for every text and every language.
+def judged_texts(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, priors: dict[str, float] | None = None) -> DataFrame:
+    """(key, ngrams, known, results): one row per text, results an array of (lang, score, posterior).
 
-    A text without known ngrams has equal posteriors.  priors (lang, prior) replace the
-    uniform ones; a language without a prior is left out.
+    A text without known ngrams, null ones included, has equal posteriors.  priors replace
+    the uniform ones; a language without a prior above 0 is left out.  Rows of equal key
+    count as one text.
     """
-    gained = gains(probabilities(models), alpha, dampening)
-    found = scores(term_windows(docs, key, text, n), gained, key, n)
-    langs = models.select("lang").distinct()
-    if priors is not None:
-        langs = langs.join(priors.where("prior > 0").select("lang", F.log("prior").alias("__prior")), "lang")
-    else:
-        langs = langs.withColumn("__prior", F.lit(0.0))
-    # the languages are few: an array of them is attached to each text, no cross join of text rows
-    every = docs.select(key).distinct().crossJoin(F.broadcast(langs))
-    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "gain")))
-    sums = found.groupBy(key).agg(by_lang.alias("gains"))
-    rows = every.join(sums, key, "left")
-    known = F.coalesce(F.try_element_at("gains", F.lit(KNOWN)), F.lit(0.0))
-    score = F.col("__prior") + known * F.lit(floor_of(alpha, dampening)) + F.coalesce(F.try_element_at("gains", F.col("lang")), F.lit(0.0))
-    return softmax(rows.select(key, "lang", known.cast("long").alias("known"), score.alias("score")), [key])
+    langs = [l for l in language_list(models) if priors is None or priors.get(l, 0) > 0]
+    table = wide(gains(probabilities(models), alpha, dampening), langs)
+    columns = ["known", *[f"g{i}" for i in range(len(langs))]]
+    rows = text_sums(docs, table, columns, key, text, n)
+    base = floor_of(alpha, dampening)
+    prior = [0.0 if priors is None else math.log(priors[l]) for l in langs]
+    rows = rows.select(key, "ngrams", F.col("known").cast("long").alias("known"), *[(F.col("known") * base + F.col(f"g{i}") + F.lit(p)).alias(f"g{i}") for i, p in enumerate(prior)])
+    if not langs:
+        return rows.select(key, "ngrams", "known", F.array().cast("array<struct<lang:string,score:double,posterior:double>>").alias("results"))
+    score = [F.col(f"g{i}") for i in range(len(langs))]
+    rows = rows.withColumn("top", F.greatest(*score) if len(score) > 1 else score[0])
+    rows = rows.withColumns({f"e{i}": F.exp(s - F.col("top")) for i, s in enumerate(score)})
+    whole = F.lit(0.0)
+    for i in range(len(langs)):
+        whole = whole + F.col(f"e{i}")
+    rows = rows.withColumn("whole", whole)
+    each = [F.struct(F.lit(l).alias("lang"), F.col(f"g{i}").alias("score"), (F.col(f"e{i}") / F.col("whole")).alias("posterior")) for i, l in enumerate(langs)]
+    return rows.select(key, "ngrams", "known", F.array(*each).alias("results"))
+
+
+def posteriors(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, lang, known, score, posterior) for every text and every language."""
+    rows = judged_texts(docs, models, key, text, **options)
+    return rows.select(key, "known", F.explode("results").alias("r")).select(key, "r.lang", "known", "r.score", "r.posterior")
 
 
 def ranked(found: DataFrame, key: str = "doc_id", least: float = LEAST_POSTERIOR) -> DataFrame:
@@ -107,8 +146,14 @@ def ranked(found: DataFrame, key: str = "doc_id", least: float = LEAST_POSTERIOR
 
 
 def detect(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_POSTERIOR, **options) -> DataFrame:
-    """(key, rank, lang, posterior): the flagship operator."""
-    return ranked(posteriors(docs, models, key, text, **options), key, least)
+    """(key, rank, lang, posterior): the flagship operator.
+
+    Best first, equal ones by language; the languages of a text are sorted within its row.
+    """
+    order = lambda r: F.struct((-F.round(r["posterior"], 9)).alias("o"), r["lang"].alias("lang"), r["posterior"].alias("posterior"))
+    rows = judged_texts(docs, models, key, text, **options)
+    sure = F.sort_array(F.transform(F.filter("results", lambda r: r["posterior"] >= least), order))
+    return rows.select(key, F.posexplode(sure).alias("pos", "r")).select(key, (F.col("pos") + 1).alias("rank"), "r.lang", "r.posterior")
 
 
 def best(results: DataFrame) -> DataFrame:
@@ -138,12 +183,9 @@ def described(lang: Column, posterior: Column, sure: Column) -> Column:
 
 def coverage(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", n: int = T.MAX_N) -> DataFrame:
     """(key, known, unknown): ngram occurrences that some model has, and that none has."""
-    windows = term_windows(docs, key, text, n)
-    vocabulary = models.select("ngram").distinct().withColumn("known", F.lit(1))
-    rows = T.prefixes(windows.select("w").distinct(), n).join(vocabulary, "ngram", "left")
-    per_window = rows.groupBy("w").agg(F.count("known").alias("known"), F.count(F.lit(1)).alias("all"))
-    sums = windows.join(per_window, "w").groupBy(key).agg(F.sum(F.col("tf") * F.col("known")).alias("known"), F.sum(F.col("tf") * (F.col("all") - F.col("known"))).alias("unknown"))
-    return docs.select(key).distinct().join(sums, key, "left").fillna(0, ["known", "unknown"])
+    table = models.select("ngram").distinct().withColumn("known", F.lit(1.0))
+    sums = text_sums(docs, table, ["known"], key, text, n)
+    return sums.select(key, F.col("known").cast("long").alias("known"), (F.col("ngrams") - F.col("known")).cast("long").alias("unknown"))
 
 
 def known_in_order(docs: DataFrame, models: DataFrame, key: str, text: str, n: int = T.MAX_N) -> DataFrame:
@@ -153,13 +195,89 @@ def known_in_order(docs: DataFrame, models: DataFrame, key: str, text: str, n: i
     return rows.select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos", "len")).alias("k"), "ngram")
 
 
-def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N) -> DataFrame:
-    """(key, stopped_at, lang, posterior, rank): detection that stops once it is sure.
+class Reader:
+    """Reads normalised texts until their language is sure: ngram hashes in a sorted array, gains in a matrix."""
+
+    def __init__(self, ngrams: list[str], gains: np.ndarray, base: float, every: int, n: int) -> None:
+        self.base, self.every, self.n = base, every, n
+        hashes = np.array([self.hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32), 0, 1)[0, len(g) - 1] for g in ngrams], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.keys, self.gains = hashes[order], gains[order]
+
+    def hashes(self, chars: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Hash of the ngram of each length (columns) at each place from low to high; 0 beyond the end."""
+        out = np.zeros((high - low, self.n), dtype=np.uint64)
+        part = chars[low : high + self.n].astype(np.uint64)
+        now = np.full(high - low, 0x9E3779B97F4A7C15, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.n):
+                size = min(high - low, len(part) - k)
+                if size <= 0:
+                    break
+                now = now[:size] * np.uint64(0xD6E8FEB86659FD93) + part[k : k + size] + np.uint64(1)
+                now ^= now >> np.uint64(29)
+                out[:size, k] = now
+        return out
+
+    def read(self, norm: str | None) -> tuple[int, np.ndarray]:
+        """Known ngrams read, and the score of each language."""
+        chars = np.frombuffer((norm or "").encode("utf-32-le"), np.uint32)
+        known, sums, leader, at, block = 0, np.zeros(self.gains.shape[1]), None, 0, 256
+        while at < len(chars) and len(self.keys):
+            stop = min(len(chars), at + block)
+            wanted = self.hashes(chars, at, stop).ravel()
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            place = place[self.keys[place] == wanted]
+            running = sums + np.cumsum(self.gains[place], axis=0)
+            for look in range(self.every - known % self.every, len(place) + 1, self.every):
+                scores = running[look - 1]
+                weights = np.exp(scores - scores.max())
+                best = int(weights.argmax())
+                now = best if weights[best] > GOOD_POSTERIOR * weights.sum() else None
+                if now is not None and now == leader:
+                    return known + look, (known + look) * self.base + scores
+                leader = now
+            if len(place):
+                sums, known = running[-1], known + len(place)
+            at, block = stop, min(2 * block, 1 << 16)
+        return known, known * self.base + sums
+
+
+def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(key, rank, lang, posterior, stopped_at): detection that stops once it is sure.
 
     After each `every` known ngrams the language above GOOD_POSTERIOR is noted; when two
     looks in a row agree the rest of the text is not read.  stopped_at counts the known
-    ngrams that were read, all of them where it never stops.
+    ngrams that were read, all of them where it never stops.  A text is read in order, so
+    this is one vectorised pass without a shuffle over a model set of up to `limit` ngrams,
+    whose size is checked; a larger one is joined.
     """
+    langs = language_list(models)
+    table = wide(gains(probabilities(models), alpha, dampening), langs)
+    if not langs or table.count() > limit:
+        return early_stop_joined(docs, models, key, text, every, alpha, dampening, n)
+    rows = table.drop("known").toArrow()
+    matrix = np.stack([rows.column(f"g{i}").to_numpy() for i in range(len(langs))], axis=1)
+    shared = docs.sparkSession.sparkContext.broadcast((rows.column("ngram").to_pylist(), matrix, floor_of(alpha, dampening), every, n))
+
+    def run(batches):
+        reader = Reader(*shared.value)
+        for batch in batches:
+            found = [reader.read(x.as_py()) for x in batch.column("norm")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([k for k, _ in found], pa.int64()), pa.array([s.tolist() for _, s in found], pa.list_(pa.float64()))], names=["key", "stopped_at", "scores"])
+
+    kind = dict(docs.dtypes)[key]
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("t"))).select("key", T.normalize(F.col("t")).alias("norm"))
+    rows = rows.mapInArrow(run, f"key {kind}, stopped_at long, scores array<double>")
+    rows = rows.withColumn("scores", F.transform("scores", lambda s: F.exp(s - F.array_max("scores"))))
+    rows = rows.withColumn("whole", F.aggregate("scores", F.lit(0.0), lambda a, s: a + s))
+    each = F.transform(F.col("scores"), lambda s, i: F.struct((-F.round(s / F.col("whole"), 9)).alias("o"), F.get(F.array(*map(F.lit, langs)), i).alias("lang"), (s / F.col("whole")).alias("posterior")))
+    sure = F.array_sort(F.filter(each, lambda r: r["posterior"] >= LEAST_POSTERIOR))
+    return rows.select("key", "stopped_at", F.posexplode(sure).alias("pos", "r")).select(F.col("key").alias(key), (F.col("pos") + 1).alias("rank"), "r.lang", "r.posterior", "stopped_at")
+
+
+def early_stop_joined(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N) -> DataFrame:
+    """early_stop for a model set of any size: joins, and sums over the steps of each text."""
     base = floor_of(alpha, dampening)
     ordered = known_in_order(docs, models, key, text, n).select(key, "ngram", F.ceil(F.col("k") / every).cast("int").alias("step"))
     terms = ordered.groupBy(key, "step", "ngram").agg(F.count(F.lit(1)).alias("tf"))
@@ -202,24 +320,29 @@ def trace(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "
     return rows.where(F.col("posterior") >= least).select(key, "k", "ngram", "lang", "prob", "posterior")
 
 
-def tune(docs: DataFrame, models: DataFrame, grid: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", n: int = T.MAX_N) -> DataFrame:
-    """(alpha, dampening, texts, errors) for each row of grid (alpha, dampening).
+def tune(docs: DataFrame, models: DataFrame, grid: list[tuple[float, float]], key: str = "doc_id", text: str = "text", label: str = "lang", n: int = T.MAX_N) -> DataFrame:
+    """(alpha, dampening, texts, errors) for each (alpha, dampening) of the grid.
 
-    Texts are read and joined once; the grid multiplies only the distinct windows and the
-    sums per text.
+    Texts are read once: the grid only adds columns to the table of ngrams.
     """
-    grid = grid.select("alpha", "dampening").distinct()
+    langs = language_list(models)
     probs = probabilities(models)
-    log_floor = F.log(F.col("alpha") + (F.lit(1.0) - F.col("alpha")) * F.col("dampening"))
-    gained = probs.crossJoin(F.broadcast(grid)).select("alpha", "dampening", "ngram", "lang", (F.log(F.col("prob") + (F.lit(1.0) - F.col("prob")) * F.col("dampening")) - log_floor).alias("gain"))
-    windows = term_windows(docs, key, text, n)
-    distinct = T.prefixes(windows.select("w").distinct(), n)
-    per_window = distinct.join(gained, "ngram").groupBy("alpha", "dampening", "w", "lang").agg(F.sum("gain").alias("gain"))
-    sums = windows.join(per_window, "w").groupBy("alpha", "dampening", key, "lang").agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+    tables, columns = [], []
+    for k, (alpha, dampening) in enumerate(grid):
+        table = wide(gains(probs, alpha, dampening), langs).drop("known")
+        names = [f"g{k}_{i}" for i in range(len(langs))]
+        tables.append(table.toDF("ngram", *names))
+        columns += names
+    table = tables[0]
+    for more in tables[1:]:
+        table = table.join(more, "ngram")
+    labels = docs.select(key, F.col(label).alias("label"))
+    sums = text_sums(docs, table, columns, key, text, n)
     # the number of known ngrams is the same for all languages, so it can't change the best one
-    langs = models.select("lang").distinct()
-    rows = docs.select(key, F.col(label).alias("label")).crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(langs)).join(sums, ["alpha", "dampening", key, "lang"], "left").fillna(0.0, ["gain"])
-    order = Window.partitionBy("alpha", "dampening", key).orderBy(F.desc(F.round("gain", 6)), "lang")
-    top = rows.withColumn("place", F.row_number().over(order)).where("place = 1")
-    miss = (F.col("lang") != F.col("label")).cast("int")
-    return top.groupBy("alpha", "dampening").agg(F.count(F.lit(1)).alias("texts"), F.sum(miss).alias("errors"))
+    tops = []
+    for k, (alpha, dampening) in enumerate(grid):
+        each = F.array(*[F.struct((-F.round(f"g{k}_{i}", 6)).alias("o"), F.lit(l).alias("lang")) for i, l in enumerate(langs)])
+        tops.append(F.struct(F.lit(float(alpha)).alias("alpha"), F.lit(float(dampening)).alias("dampening"), F.array_min(each)["lang"].alias("lang")))
+    rows = sums.select(key, F.explode(F.array(*tops)).alias("t")).join(labels, key)
+    miss = (~F.coalesce(F.col("t.lang") == F.col("label"), F.lit(False))).cast("int")
+    return rows.groupBy("t.alpha", "t.dampening").agg(F.count(F.lit(1)).alias("texts"), F.sum(miss).alias("errors"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyglint.functions import text as T
+from polyglint.session import spread
 
 SCALE = 1_000_000
 #: A language with fewer ngram occurrences gets no model: 4000 for each ngram length.
@@ -23,13 +24,15 @@ def counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int =
     Windows are counted first, one per character, and split into their prefixes only
     once they are distinct: a quarter of the rows of counting every ngram.
     """
-    seen = T.explode_windows(labelled, text, [F.col(lang).alias("lang")], n).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    rows = spread(labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
+    seen = T.explode_windows(rows, "text", ["lang"], n).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     return T.prefixes(seen, n).groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
 def hashed_counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
     """(lang, ngram, n) of the hashed mode: ngram is a 32-bit hash, and texts are clipped at the tail."""
-    seen = T.clipped(labelled, text, [F.col(lang).alias("lang")], n).groupBy("lang", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    rows = spread(labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
+    seen = T.clipped(rows, "text", ["lang"], n).groupBy("lang", "ngram").agg(F.count(F.lit(1)).alias("n"))
     return seen.select("lang", T.joaat(F.col("ngram")).alias("ngram"), "n").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
