@@ -310,13 +310,19 @@ def shards(docs: DataFrame, vocabulary: str, tokens_per_shard: int = 2_000_000,
         for batch in batches:
             for part in slices(batch, "text"):
                 found, offsets = coder.encode(part.column("text"))
-                held.append(found)
-                ids += part.column("doc_id").to_pylist()
-                lengths.append(np.diff(offsets))
-                total += len(found)
-                if total >= tokens_per_shard:
-                    yield close()
-                    held, ids, lengths, total, number = [], [], [], 0, number + 1
+                names = part.column("doc_id").to_pylist()
+                at = 0
+                while at < len(names):
+                    stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tokens_per_shard - total)))
+                    stop = min(stop, len(names))
+                    held.append(found[offsets[at] : offsets[stop]])
+                    ids += names[at:stop]
+                    lengths.append(np.diff(offsets[at : stop + 1]))
+                    total += int(offsets[stop] - offsets[at])
+                    if total >= tokens_per_shard:
+                        yield close()
+                        held, ids, lengths, total, number = [], [], [], 0, number + 1
+                    at = stop
         if ids:
             yield close()
 
