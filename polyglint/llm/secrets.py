@@ -10,7 +10,6 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,11 +74,17 @@ def identifier_samples(words: list[str], n: int = 20000, seed: int = 12) -> list
 
 
 def training_words(docs: DataFrame, documents: int = 2000, most: int = 20000) -> list[str]:
-    """ASCII words of a bounded sample: of the `documents` texts with the smallest hash, the `most` commonest."""
-    text = F.col("text").cast("string")
-    sample = docs.select(text.alias("text")).where("length(text) > 0").orderBy(F.xxhash64("text"), "text").limit(documents).collect()
-    counts = Counter(w for row in sample for w in re.findall(r"\b[A-Za-z]{3,}\b", row.text))
-    return [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    """ASCII words of a bounded sample: of the `documents` texts with the smallest hash, the `most` commonest.
+
+    Only hashes are sorted for the sample, and words are counted where the texts lie, so
+    that no text comes to the driver.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0").select("text", F.xxhash64("text").alias("h"))
+    last = texts.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h").alias("h")).first().h
+    if last is None:
+        return []
+    words = texts.where(F.col("h") <= last).dropDuplicates(["h"]).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,}\b"), F.lit(0))).alias("word"))
+    return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
 
 
 class Models:
