@@ -3,8 +3,9 @@
 Texts with equal n-gram sets are collapsed into one set first.  Candidates come from
 prefix n-grams in rarest-first order; candidate sets meet in size-banded tiles, where
 hashed bitmap signatures bound each overlap from above before sorted arrays are
-intersected exactly.  Nothing is capped: the result is every similar pair of sets,
-plus a link from each further text of a set to the text with the smallest id.
+intersected exactly.  Nothing is capped: similar_pairs gives every similar pair of sets,
+plus a link from each further text of a set to the text with the smallest id; all_pairs
+gives every similar pair of texts.
 """
 
 from __future__ import annotations
@@ -390,18 +391,8 @@ def _verify(threshold: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, crowd: int = 256, block: int = 1000) -> DataFrame:
-    """Pairs doc_a < doc_b with their n-gram overlap and Jaccard similarity, at least `threshold`.
-
-    docs needs doc_id and text; further columns are ignored.  The result stands for all
-    similar pairs without listing copies twice: of texts with equal n-gram sets the one
-    with the smallest doc_id represents the set, the others are linked to it (jaccard 1),
-    and all similar pairs of representatives are listed.  Texts without words, null or
-    empty, are similar to nothing; a text of fewer than n words is one n-gram.  Rows
-    without doc_id are ignored, repeated rows of one doc_id with equal text count once.
-    An empty table gives no rows.  common, share, crowd and block steer the work only, never
-    the result.
-    """
+def _similar_sets(docs: DataFrame, threshold: float, n: int, common: int, share: float, crowd: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_id, size) of every text with words, and all similar pairs (set_a, set_b, overlap, jaccard) of distinct sets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     partitions = shuffle_partitions(spark)
@@ -440,13 +431,56 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: i
     arrays = docs.mapInArrow(_array_rows(n), "doc_id long, set_id long, grams binary")
     tiles = arrays.join(seats, "doc_id").select("tile", "low", "high", "side", "set_id", "grams")
     found = tiles.groupBy("tile", "low", "high").applyInArrow(_verify(threshold), _FOUND_SQL).dropDuplicates(["set_a", "set_b"])
+    return members, found
+
+
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, crowd: int = 256, block: int = 1000) -> DataFrame:
+    """Pairs doc_a < doc_b with their n-gram overlap and Jaccard similarity, at least `threshold`.
 
+    docs needs doc_id and text; further columns are ignored.  The result stands for all
+    similar pairs without listing copies twice: of texts with equal n-gram sets the one
+    with the smallest doc_id represents the set, the others are linked to it (jaccard 1),
+    and all similar pairs of representatives are listed.  Texts without words, null or
+    empty, are similar to nothing; a text of fewer than n words is one n-gram.  Rows
+    without doc_id are ignored, repeated rows of one doc_id with equal text count once.
+    An empty table gives no rows.  common, share, crowd and block steer the work only, never
+    the result.
+    """
+    members, found = _similar_sets(docs, threshold, n, common, share, crowd, block)
+    firsts = members.groupBy("set_id", "size").agg(F.min("doc_id").alias("first"))
     a, b = firsts.select(F.col("set_id").alias("set_a"), F.col("first").alias("x")), firsts.select(F.col("set_id").alias("set_b"), F.col("first").alias("y"))
     near = found.join(a, "set_a").join(b, "set_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "jaccard").where("doc_a < doc_b")
     same = members.join(firsts.select("set_id", "first"), "set_id").where("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, crowd: int = 256, block: int = 1000) -> DataFrame:
+    """Every pair of texts doc_a < doc_b that is similar, copies with each other and with near texts of their set included.
+
+    Rows are as many as such pairs: k(k-1)/2 for k copies.  Otherwise like similar_pairs.
+    """
+    members, found = _similar_sets(docs, threshold, n, common, share, crowd, block)
+    counted = written(members.groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("copies")), "counted")
+    same = counted.where("copies > 1").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    sets = written(found.unionByName(same), "similar")
+
+    # the texts of either set meet in parts of about `block` by `block`, so that no task expands a large set alone
+    parts = counted.select("set_id", F.ceil(F.col("copies") / block).cast("int").alias("parts"))
+    part = lambda parts: F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+    texts = members.join(parts, "set_id").withColumn("part", part("parts")).select("set_id", "part", "doc_id")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"parts_{side}") - 1)).alias(f"part_{side}")
+    for side in "ab":
+        sets = sets.join(parts.select(F.col("set_id").alias(f"set_{side}"), F.col("parts").alias(f"parts_{side}")), f"set_{side}")
+    sets = sets.select("set_a", "set_b", "overlap", "jaccard", every("a"), "parts_b").select("set_a", "set_b", "overlap", "jaccard", "part_a", every("b"))
+    for side, name in ("a", "x"), ("b", "y"):
+        sets = sets.join(texts.select(F.col("set_id").alias(f"set_{side}"), F.col("part").alias(f"part_{side}"), F.col("doc_id").alias(name)), [f"set_{side}", f"part_{side}"])
+    pairs = sets.where("x < y or (set_a <> set_b and x > y)").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "jaccard")
+    if members.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return pairs
+    # only a doc_id of several texts can give a pair twice
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"))
+
+
 def groups(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int = 50) -> DataFrame:
     """(doc_id, group): connected components of the pairs, named by their smallest doc_id.
 

@@ -29,9 +29,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct sets, by their smallest doc_id, and star links from there to the copies."""
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every similar pair of documents, those of copies included."""
+    return jaccard.all_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op3_ngram_jaccard_all": op3_ngram_jaccard_all,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_wavelet_shards": op6_wavelet_shards,
@@ -131,6 +138,18 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT s.first, d.doc_id, s.size::INTEGER, 1.0::DOUBLE FROM g d JOIN sets s ON d.g = s.g WHERE d.doc_id > s.first
     """,
+    "op3_ngram_jaccard_all": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents),
+        g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+            FROM w WHERE len(w) > 0),
+        grams AS (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM g),
+        near AS (
+            SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.size) + any_value(b.size) - count(*) AS total
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b, common::INTEGER AS overlap, common::DOUBLE / total AS jaccard FROM near WHERE common >= 0.5 * total
+    """,
     "op8_fair_mix": r"""
         WITH t AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS s FROM documents),
         d AS (

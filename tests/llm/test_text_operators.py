@@ -79,6 +79,26 @@ def test_similar_pairs_equal_brute_force(spark, options):
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("options", [{}, {"crowd": 8, "block": 10}])
+def test_all_pairs_hold_copies_too(spark, options):
+    rows = near_copies()
+    rows += [(len(rows) + k, rows[3 * k][1]) for k in range(30)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    found = [(r.doc_a, r.doc_b, r.overlap, r.jaccard) for r in jaccard.all_pairs(docs, **options).collect()]
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = {(i, j): (len(a & b), len(a & b) / len(a | b)) for i, a in sets for j, b in sets if i < j and 2 * len(a & b) >= len(a | b)}
+    assert len(found) == len(want) and {(a, b): (n, s) for a, b, n, s in found} == want
+    assert len(want) > len(similar_by_force(rows)) + 40 * 39 // 2 - 40
+
+
+def test_all_pairs_of_odd_rows(spark):
+    rows = [(1, prose(30, 1)), (1, prose(30, 1)), (2, prose(30, 1)), (2, prose(30, 2)), (3, prose(30, 2)), (4, prose(30, 1)), (4, prose(30, 2))]
+    docs = odd(spark).unionByName(table(spark, [(100 + i, t, "en", "a") for i, t in rows]))
+    found = sorted((r.doc_a, r.doc_b) for r in jaccard.all_pairs(docs).collect())
+    assert found == [(5, 102), (5, 103), (5, 104), (8, 9), (101, 102), (101, 104), (102, 103), (102, 104), (103, 104)]
+    assert jaccard.all_pairs(docs.limit(0)).count() == 0
+
+
 def test_similar_pairs_of_odd_rows(spark):
     docs = odd(spark)
     assert {(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(docs).collect()} == {(8, 9)}
