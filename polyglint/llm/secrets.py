@@ -2,7 +2,8 @@
 
 One model is of random strings, one of ordinary identifiers; both count character pairs
 of labelled samples.  A token is a secret where the log-likelihood ratio of the two is
-high enough, in total and per character.
+high enough, in total and per character.  A token that isn't, such as a path or an
+assignment, is searched for stretches of its parts that are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Runs of characters that secrets are made of.
-TOKEN = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
+LEAST_LENGTH = 16
+TOKEN = re.compile(rf"[A-Za-z0-9_+/=\-]{{{LEAST_LENGTH},}}")
+PART = re.compile(r"[A-Za-z0-9]+")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "_+/=-"
 _PLACE = np.full(256, len(ALPHABET), dtype=np.int64)
 _PLACE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
@@ -99,6 +103,56 @@ class Models:
         return float(self.ratio[places[:-1], places[1:]].sum())
 
 
+def _best_stretch(starts: list[int], ends: list[int], left: list[float], right: list[float], least_total: float, least_mean: float) -> tuple[int, int] | None:
+    """First and last part of the stretch of highest score that reaches both thresholds; its score is right[last] - left[first]."""
+    # score >= least_mean * length says that the start's tilted value is at most the end's
+    tilted = [x - least_mean * a for x, a in zip(left, starts)]
+    ranked = sorted(tilted)
+    least: list[tuple[float, int]] = [(float("inf"), -1)] * (len(ranked) + 1)  # a Fenwick tree of the smallest left by rank
+    best, found, entered = least_total, None, 0
+    for last, end in enumerate(ends):
+        while entered <= last and starts[entered] <= end - LEAST_LENGTH:
+            at = bisect_left(ranked, tilted[entered]) + 1
+            while at < len(least):
+                least[at] = min(least[at], (left[entered], entered))
+                at += at & -at
+            entered += 1
+        at, low = bisect_right(ranked, right[last] - least_mean * end), least[0]
+        while at:
+            low = min(low, least[at])
+            at -= at & -at
+        if low[1] >= 0 and (right[last] - low[0] > best or found is None and right[last] - low[0] >= best):
+            best, found = right[last] - low[0], (low[1], last)
+    return found
+
+
+def stretches(token: str, models: Models, least_total: float, least_mean: float) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the secrets within a token: stretches from part to part, scored like tokens of their own.
+
+    The best stretch that reaches the thresholds is taken, then those on either side of it.
+    """
+    spans = [m.span() for m in PART.finditer(token)]
+    if not spans:
+        return []
+    places = _PLACE[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
+    starts, ends = (np.array(x) for x in zip(*spans))
+    inner = np.concatenate([[0.0], np.cumsum(models.ratio[places[:-1], places[1:]])])
+    left = inner[starts] - models.ratio[STATES - 1, places[starts]]
+    right = inner[ends - 1] + models.ratio[places[ends - 1], STATES - 1]
+    out, waiting = [], [(0, len(spans))]
+    while waiting:
+        lo, hi = waiting.pop()
+        # most are ordinary throughout: no stretch reaches the total, whatever its length
+        if lo >= hi or (right[lo:hi] - np.minimum.accumulate(left[lo:hi])).max() < least_total:
+            continue
+        found = _best_stretch(starts[lo:hi].tolist(), ends[lo:hi].tolist(), left[lo:hi].tolist(), right[lo:hi].tolist(), least_total, least_mean)
+        if found:
+            first, last = lo + found[0], lo + found[1]
+            out.append((int(starts[first]), int(ends[last]), float(right[last] - left[first])))
+            waiting += [(lo, first), (last + 1, hi)]
+    return sorted(out)
+
+
 def find(text: str, models: Models, least_total: float, least_mean: float) -> list[tuple[int, int, float]]:
     """(start, end, score) of every secret in a text, by character position."""
     out = []
@@ -107,6 +161,8 @@ def find(text: str, models: Models, least_total: float, least_mean: float) -> li
         score = models.score(token)
         if score >= least_total and score >= least_mean * len(token):
             out.append((m.start(), m.end(), round(score, 6)))
+        else:
+            out += [(m.start() + a, m.start() + b, round(x, 6)) for a, b, x in stretches(token, models, least_total, least_mean)]
     return out
 
 

@@ -251,6 +251,43 @@ def test_secrets_on_held_out_samples():
     assert np.mean([flagged(x) for x in fresh]) >= 0.9 and np.mean([flagged(x) for x in plain]) <= 0.02
 
 
+def test_secrets_within_long_paths():
+    words = [w for w in VOCABULARY if len(w) > 2]
+    models = secrets.Models(secrets.random_samples(), secrets.identifier_samples(words))
+    find = lambda x: secrets.find(x, models, 12.0, 0.35)
+    rng = random.Random(6)
+    alone = missed = lost = 0
+    for key in [s for s in secrets.random_samples(400, seed=97) if len(s) >= 20 and s.isalnum()]:
+        if not find(key):
+            continue
+        alone += 1
+        path = ["/".join(rng.choices(words, k=rng.randint(4, 12))) for _ in range(2)]
+        text = f"{path[0]}{rng.choice('/=_-')}{key}/{path[1]}"
+        missed += not any(text[a:b] in key or key in text[a:b] for a, b, _ in find(text))
+        lost += len(find(f"{path[0]}/{key}/{path[1]}/{key}/{path[0]}")) < 1
+    assert alone > 200 and missed == lost == 0
+    long = secrets.identifier_samples(words[:50], 2000, seed=96)
+    paths = ["/".join(rng.choices(long, k=6)) for _ in range(500)]
+    paths = [p for p in paths if not re.search(r"[0-9]{10}", p)]
+    assert len(paths) > 300 and np.mean([bool(find(p)) for p in paths]) <= 0.02
+
+
+def test_best_stretch_equals_brute_force():
+    models = secrets.Models(secrets.random_samples(), secrets.identifier_samples(VOCABULARY))
+    rng = random.Random(7)
+    seen = 0
+    for _ in range(300):
+        parts = [rng.choice(VOCABULARY) if rng.random() < 0.5 else "".join(rng.choices("0123456789abcdef", k=rng.randint(2, 24))) for _ in range(rng.randint(1, 9))]
+        token = "".join(rng.choice(["/", "-", "_", "=", "//"]) + p for p in parts)
+        spans = [m.span() for m in re.finditer("[A-Za-z0-9]+", token)]
+        want = [models.score(token[a:b]) for i, (a, _) in enumerate(spans) for _, b in spans[i:] if b - a >= 16 and models.score(token[a:b]) >= max(12.0, 0.35 * (b - a))]
+        found = secrets.stretches(token, models, 12.0, 0.35)
+        assert bool(found) == bool(want) and all(abs(models.score(token[a:b]) - x) < 1e-9 for a, b, x in found)
+        assert not want or abs(max(x for *_, x in found) - max(want)) < 1e-9
+        seen += bool(want)
+    assert seen > 50
+
+
 def test_secret_positions_and_odd_rows(spark):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(1, f"é {key} and {key}", "en", "a"), (2, prose(40, 1), "en", "a"), (3, None, "en", "a"), (3, f"key={key}", None, None)]
