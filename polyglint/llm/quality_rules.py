@@ -87,40 +87,49 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """total, q1, q2 and q3 of each group and feature: the smallest value at or above the rank."""
+    """total, q1, q2, q3, and the twentieths t1 and t19 of each group and feature: the smallest value at or above the rank."""
     by = (*by, "feature")
     running = F.sum("n").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(*by))
     ranked = sketch.withColumn("running", running).withColumn("total", total)
     at = lambda q: F.min(F.when(F.col("running") * 4 >= F.col("total") * q, F.col("value"))).alias(f"q{q}")
-    return ranked.groupBy(*by).agg(F.max("total").alias("total"), at(1), at(2), at(3))
+    tail = lambda q: F.min(F.when(F.col("running") * 20 >= F.col("total") * q, F.col("value"))).alias(f"t{q}")
+    return ranked.groupBy(*by).agg(F.max("total").alias("total"), at(1), at(2), at(3), tail(1), tail(19))
 
 
 #: Smallest distance from the quartiles to the fences, so that a narrow group doesn't reject ordinary texts.
 FLOORS = {"symbols": 60, "digits": 250, "capitals": 150, "word_length": 600, "repeated_lines": 400}
+#: The same for adaptive fences: a few steps of the grid.
+STEPS = 5
 
 
-def fences(sketch: DataFrame, times: int, least: int) -> DataFrame:
+def fences(sketch: DataFrame, times: int, least: int, adaptive: bool = False) -> DataFrame:
     """(lang, source, feature, low, high) of every group, from the finest sketch of at least `least` documents.
 
     The fences lie `times` interquartile ranges, and at least the feature's floor, from the
-    quartiles; of all documents if even the language has fewer than `least`.
+    quartiles; of all documents if even the language has fewer than `least`.  adaptive: the
+    sketch alone sets the distance, but for STEPS, and where the interquartile range is 0,
+    the distance from the quartile to the outer twentieth stands for it on either side.
     """
     own = quartiles(sketch, "lang", "source")
     tongue = quartiles(merged(sketch, "lang"), "lang")
     every = quartiles(merged(sketch))
-    names = ("total", "q1", "q3")
+    names = ("total", "q1", "q3", "t1", "t19") if adaptive else ("total", "q1", "q3")
     own = own.select("lang", "source", "feature", *[F.col(c).alias(f"own_{c}") for c in names])
     tongue = tongue.select(F.col("lang"), "feature", *[F.col(c).alias(f"lang_{c}") for c in names])
     every = every.select("feature", *[F.col(c).alias(f"all_{c}") for c in names])
     joined = own.join(tongue, ["lang", "feature"]).join(every, "feature")
     pick = lambda c: F.when(F.col("own_total") >= least, F.col(f"own_{c}")).when(F.col("lang_total") >= least, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
+    if adaptive:
+        spread = pick("q3") - pick("q1")
+        reach = lambda tail: F.greatest(times * F.when(spread > 0, spread).otherwise(tail), F.lit(STEPS))
+        return joined.select("lang", "source", "feature", (pick("q1") - reach(pick("q1") - pick("t1"))).alias("low"), (pick("q3") + reach(pick("t19") - pick("q3"))).alias("high"))
     floor = F.coalesce(*[F.when(F.col("feature") == f, F.lit(v)) for f, v in FLOORS.items()])
     reach = F.greatest(times * (pick("q3") - pick("q1")), floor)
     return joined.select("lang", "source", "feature", (pick("q1") - reach).alias("low"), (pick("q3") + reach).alias("high"))
 
 
-def judged(docs: DataFrame, times: int = 3, least: int = 50) -> DataFrame:
+def judged(docs: DataFrame, times: int = 3, least: int = 50, adaptive: bool = False) -> DataFrame:
     """doc_id, lang, source, the features, and `failed`: the features beyond their fences, in order.
 
     docs needs doc_id, text, lang and source; further columns are ignored.  Null language
@@ -131,7 +140,7 @@ def judged(docs: DataFrame, times: int = 3, least: int = 50) -> DataFrame:
     name = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name("lang").alias("lang"), name("source").alias("source"), F.col("text").cast("string").alias("text"))
     slim = written(slim.mapInArrow(_feature_rows, "doc_id long, lang string, source string, " + ", ".join(f"{f} int" for f in FEATURES)), "features")
-    bounds = fences(sketches(slim), times, least)
+    bounds = fences(sketches(slim), times, least, adaptive)
     wide = bounds.groupBy("lang", "source").agg(*[f(F.when(F.col("feature") == n, F.col(c))).alias(f"{c}_{n}") for n in FEATURES for f, c in ((F.max, "low"), (F.max, "high"))])
     # one row per group: small beside the documents, and the planner broadcasts it while it is
     rows = slim.join(wide, ["lang", "source"])
@@ -140,6 +149,6 @@ def judged(docs: DataFrame, times: int = 3, least: int = 50) -> DataFrame:
     return rows.select("doc_id", raw("lang"), raw("source"), *FEATURES, F.concat_ws(",", *beyond).alias("failed"))
 
 
-def keep_good(docs: DataFrame, times: int = 3, least: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, times: int = 3, least: int = 50, adaptive: bool = False) -> DataFrame:
     """Ids, groups and features of the documents that stay within all fences."""
-    return judged(docs, times, least).where("failed = ''").drop("failed")
+    return judged(docs, times, least, adaptive).where("failed = ''").drop("failed")

@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences as wide as the sketch of the group says."""
+    return quality_rules.keep_good(_table(spark, sf_dir, "documents"), adaptive=True)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op1_quality_rules_adaptive": op1_quality_rules_adaptive,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op3_ngram_jaccard_all": op3_ngram_jaccard_all,

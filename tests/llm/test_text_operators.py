@@ -234,6 +234,40 @@ def test_quality_rules_adapt_to_their_group(spark):
     assert 300 not in kept and kept >= {r[0] for r in rows} - {300}
 
 
+def test_adaptive_fences_equal_a_plain_recount(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        text = prose(rng.randint(40, 120), 3000 + k)
+        if k % 25 == 0:
+            text = text.replace(" ", "! ", 4) + " 12" * rng.randint(1, 6)
+        if k % 40 == 1:
+            text = text[: len(text) // 2] + "\n" + "same line\n" * rng.randint(2, 9)
+        rows.append((k, text, "en" if k % 2 else "fr", "ab"[k % 3 == 0] if k < 380 else "rare"))
+    rows += [(400, " ".join("a" * 60), "en", "a"), (401, prose(80, 1).upper(), "en", "a")]
+    docs = table(spark, rows)
+    features = dict(zip((r[0] for r in rows), zip(*[x.tolist() for x in quality_rules.features(pa.array([r[1] for r in rows]))])))
+    want = {}
+    for i, _, lang, source in rows:
+        own = [k for k, _, la, s in rows if (la, s) == (lang, source)]
+        tongue = [k for k, _, la, _ in rows if la == lang]
+        group = own if len(own) >= 50 else tongue
+        failed = []
+        for j, name in enumerate(quality_rules.FEATURES):
+            values = sorted(features[k][j] for k in group)
+            at = lambda share: values[int(np.ceil(share * len(values) - 1e-9)) - 1]
+            q1, q3 = at(0.25), at(0.75)
+            low = q1 - max(3 * ((q3 - q1) or q1 - at(0.05)), 5)
+            high = q3 + max(3 * ((q3 - q1) or at(0.95) - q3), 5)
+            if not low <= features[i][j] <= high:
+                failed.append(name)
+        want[i] = ",".join(failed)
+    assert {r.doc_id: r.failed for r in quality_rules.judged(docs, adaptive=True).collect()} == want
+    assert "word_length" in want[400] and "capitals" in want[401]  # the one is low, beyond what a floor of 600 allows
+    assert 400 in {r.doc_id for r in quality_rules.keep_good(docs).collect()}
+    assert {r.doc_id for r in quality_rules.keep_good(docs, adaptive=True).collect()} == {i for i, x in want.items() if not x}
+
+
 def test_quality_rules_of_odd_rows(spark):
     docs = odd(spark)
     assert quality_rules.judged(docs).count() == 11
