@@ -80,7 +80,9 @@ def read_archive(content: bytes, most_record: int = 1 << 30) -> Iterator[Record]
     """The records of an archive.
 
     A damaged frame ends the archive, as the next one can't be found for sure: it gives a
-    last record with an error.  Later skippable frames are passed over.
+    last record with an error.  A record of more than most_record bytes is decoded to its
+    end but not kept: it gives an error of its own, and the archive goes on.  Later
+    skippable frames are passed over.
     """
     try:
         dictionary, at = _dictionary(content)
@@ -103,14 +105,17 @@ def read_archive(content: bytes, most_record: int = 1 << 30) -> Iterator[Record]
                 used += len(piece)
                 size += len(parts[-1])
                 if size > most_record:
-                    raise ValueError(f"record of more than {most_record} bytes")
+                    parts.clear()
             if not frame.eof:
                 raise ValueError("frame cut short")
         except (ValueError, zstandard.ZstdError) as e:
             yield Record(at, {}, b"", f"frame: {e}")
             return
-        headers, block, error = parse_record(b"".join(parts))
-        yield Record(at, headers, block, error)
+        if size > most_record:
+            yield Record(at, {}, b"", f"frame: record of more than {most_record} bytes")
+        else:
+            headers, block, error = parse_record(b"".join(parts))
+            yield Record(at, headers, block, error)
         at += used - len(frame.unused_data)
 
 

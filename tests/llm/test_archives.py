@@ -148,6 +148,19 @@ def test_damaged_archives():
     assert next(warc.read_archive(head[:50])).error.startswith("dictionary")
 
 
+def test_records_after_an_oversized_one():
+    rng = random.Random(3)
+    blocks = [b"first", rng.randbytes(400_000), b"a" * 400_000, b"last", b"very last"]
+    packed = [warc.write_record({"WARC-Type": "resource", "WARC-Record-ID": f"<{k}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Length": str(len(b))}, b) for k, b in enumerate(blocks)]
+    content = warc.write_archive(packed)
+    found = list(warc.read_archive(content, most_record=100_000))
+    assert [r.payload for r in found] == [b"first", b"", b"", b"last", b"very last"]
+    assert [bool(r.error) for r in found] == [False, True, True, False, False] and "100000" in found[1].error
+    assert [r.offset for r in found] == [r.offset for r in warc.read_archive(content)]
+    cut = list(warc.read_archive(warc.write_archive(packed[:2])[:-9], most_record=100_000))
+    assert len(cut) == 2 and "cut short" in cut[1].error
+
+
 def site(host: int, page: int) -> str:
     body = f"<div class='post-{page} main'><p>{prose(60, page)}</p><p>{prose(20, page + 1)}</p></div>"
     return f"<html><body><nav><a href='#'>{prose(30, 1)}</a></nav>{body}<footer>{prose(8, host)}</footer><script>var x = '<div>';</script></body></html>"
