@@ -258,7 +258,9 @@ def _tile_hits(threshold: float, common: int, share: float, crowd: int, never: i
         if big.any():
             leader = np.minimum.reduceat(ids, starts)
             inside = big[run]
-            yield _count_pairs([np.stack([leader[run[inside]], ids[inside], sizes[inside], np.full(inside.sum(), -never)])])
+            links = _count_pairs([np.stack([leader[run[inside]], ids[inside], sizes[inside], np.full(inside.sum(), -never)])])
+            links[3] = -never  # once, however many such n-grams: a sum could leave 32 bits
+            yield links
         alive = np.flatnonzero(~big[run])
         held: list[np.ndarray] = []
         waiting = 0

@@ -123,6 +123,13 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in jaccard.drop_near_copies(docs).collect()} == {root(i) for i, _ in rows}
 
 
+def test_links_of_many_crowded_ngrams_stay_negative():
+    grams, ids = np.repeat(np.arange(2200, dtype=np.uint32), 4), np.tile(np.arange(4, dtype=np.int64), 2200)
+    packed = pa.RecordBatch.from_pydict({"bucket": [0], "grams": [grams.tobytes()], "ids": [ids.tobytes()], "sizes": [np.full(len(ids), 3000, np.int32).tobytes()]}, schema=jaccard._PACKED)
+    found = pa.Table.from_batches(jaccard._tile_hits(0.5, 4, 0.04, 3, 1_000_000)([packed])).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in found) == [(0, 0), (0, 1), (0, 2), (0, 3)] and all(r["hits"] < 0 for r in found)
+
+
 def test_signatures_bound_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
