@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from polyglint.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels conversations".split()
@@ -34,10 +35,10 @@ def rows(names, found):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql().keys() & entry.queries().keys()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL.keys() & catalog.QUERIES.keys()))
 def test_query_equals_sql(spark, sql, name):
     found = entry.queries()[name](spark, FOLDER)
-    table = sql.execute(entry.oracle_sql()[name]).fetch_arrow_table()
+    table = sql.execute(entry.oracle_sql()[name]).to_arrow_table()
     assert sorted(found.columns) == sorted(table.column_names)
     names = sorted(found.columns)
     assert rows(names, (r.asDict() for r in found.collect())) == rows(names, table.to_pylist())
