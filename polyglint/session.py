@@ -100,7 +100,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions that hold about bytes_each of df as it is stored; the session's number at least."""
     least = shuffle_partitions(df.sparkSession)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # a plan whose size isn't known counts as the largest number there is
     return least if size >= 1 << 60 else max(least, min(-(-size // bytes_each), 1_000_000))
 
