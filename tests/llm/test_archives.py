@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
+import re
 import struct
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -189,7 +193,80 @@ def test_consensus_equals_a_plain_vote(spark):
         count[1] += score
     want = {h: min(b, key=lambda p: (-b[p][0], -b[p][1], p)) for h, b in ballots.items()}
     for r in html_consensus.extract_pages(pages).collect():
-        assert (r.text, r.path, r.consensus) == html_consensus.extract(rows[r.page_id][2], want[r.page_id % 4])
+        found = html_consensus.containers(rows[r.page_id][2])
+        hits = [c.text for c in found if c.path == want[r.page_id % 4] and c.text]
+        top = max(found, key=lambda c: c.score)
+        assert (r.text, r.path, r.consensus) == (("\n".join(hits), want[r.page_id % 4], True) if hits else (top.text, top.path, False))
+
+
+class Tree(HTMLParser):
+    """Containers of well-formed pages by the standard library's parser: path, score and text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.open, self.found, self.link, self.silent = [["", 0, []]], [], False, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_consensus.SILENT:
+            self.silent += 1
+        self.link |= tag == "a"
+        if tag in html_consensus.BREAKS:
+            self.handle_text("\n", 0)
+        if tag in html_consensus.CONTAINERS:
+            names = sorted({re.sub(r"\d+", "#", c.lower()) for c in (dict(attrs).get("class") or "").split()})
+            self.open.append([f"{self.open[-1][0]}>{'.'.join([tag, *names])}", 0, []])
+            self.found.append(self.open[-1])
+
+    def handle_endtag(self, tag):
+        if tag in html_consensus.SILENT:
+            self.silent -= 1
+        self.link &= tag != "a"
+        if tag in html_consensus.CONTAINERS:
+            self.open.pop()
+        if tag in html_consensus.BREAKS:
+            self.handle_text("\n", 0)
+
+    def handle_text(self, text, solid):
+        if not self.silent:
+            self.open[-1][1] += -solid if self.link else solid
+            for x in self.open:
+                x[2].append(text)
+
+    def handle_data(self, text):
+        self.handle_text(text.replace("\n", " "), len(text) - text.count(" "))
+
+    def handle_entityref(self, name):
+        self.handle_text(f"&{name};", len(name) + 2)
+
+
+def test_containers_equal_another_parser():
+    rng = random.Random(6)
+
+    def block(depth):
+        tag = rng.choice(["div", "section", "p", "ul", "span", "table"])
+        inside = "".join(rng.choice([block(depth - 1) if depth else "x", prose(rng.randint(1, 9), rng.randint(0, 99)), "<a href='u'>go there</a>", "a &amp; b", "<!-- <div> -->", "<br/>", "<img alt='>'>", "<script>if (a < b) '<div>'</script>", "\n"]) for _ in range(rng.randint(1, 5)))
+        return f'<{tag} class="c{rng.randint(1, 99)} b" id=x>{inside}</{tag}>'
+
+    for _ in range(60):
+        page = f"<html><body>{block(4)}{block(3)}</body></html>"
+        tree = Tree()
+        tree.feed(page)
+        tree.close()
+        want = [(path, score, "\n".join(x for line in html.unescape("".join(parts)).split("\n") if (x := " ".join(line.split())))) for path, score, parts in tree.found]
+        assert [tuple(c) for c in html_consensus.containers(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "deep", "<a '" * 250_000, '<a "' * 250_000, "<!-" * 300_000, "<!-- " * 200_000, "<svg>" * 200_000, "<" * 1_000_000, "<div>" * 60_000 + "</section>" * 60_000, "<div class='" + "x1 " * 300_000 + "'>t", "</svg" + " " * 1_000_000, "<?" * 400_000, "<div><p>text" * 60_000 + ">"])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_consensus.best_path(page)
+    assert time.process_time() - began < 2.5
+
+
+def test_path_hashes_tell_paths():
+    parsed = html_consensus.Page(site(1, 2))
+    for node, *_ in parsed.containers:
+        assert html_consensus.path_hash(parsed.path(node)) == parsed.hash_of(node)
 
 
 def test_odd_pages(spark):
