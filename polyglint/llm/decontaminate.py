@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .jaccard import slices
+from .tokens import slices
 
 Q = 3
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .jaccard import slices
+from .tokens import slices
 from .shared import written
 
 #: Features of a text, each a whole number.

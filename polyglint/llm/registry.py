@@ -34,13 +34,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct sets, by their smallest doc_id, and star links from there to the copies."""
-    return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
-
-
-def op3_ngram_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every similar pair of documents, those of copies included."""
-    return jaccard.all_pairs(_table(spark, sf_dir, "documents"))
+    """One row per document: its class of similar texts, and to how many others it is linked."""
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules_adaptive": op1_quality_rules_adaptive,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
-    "op3_ngram_jaccard_all": op3_ngram_jaccard_all,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_wavelet_shards": op6_wavelet_shards,
@@ -130,31 +124,19 @@ ORACLE_SQL: dict[str, str] = {
             repeated_lines::INTEGER AS repeated_lines FROM f WHERE doc_id NOT IN (SELECT doc_id FROM bad)
     """,
     "op3_ngram_jaccard": r"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents),
-        g AS (
-            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
-            FROM w WHERE len(w) > 0),
-        sets AS (SELECT g, min(doc_id) AS first, len(g) AS size FROM g GROUP BY g),
-        grams AS (SELECT first, size, unnest(g) AS gram FROM sets),
-        near AS (
-            SELECT a.first AS doc_a, b.first AS doc_b, count(*) AS common, any_value(a.size) + any_value(b.size) - count(*) AS total
-            FROM grams a JOIN grams b ON a.gram = b.gram AND a.first < b.first GROUP BY 1, 2)
-        SELECT doc_a, doc_b, common::INTEGER AS overlap, common::DOUBLE / total AS jaccard FROM near WHERE common >= 0.5 * total
-        UNION ALL
-        SELECT s.first, d.doc_id, s.size::INTEGER, 1.0::DOUBLE FROM g d JOIN sets s ON d.g = s.g WHERE d.doc_id > s.first
-    """,
-    "op3_ngram_jaccard_all": r"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents),
         g AS (
             SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
             FROM w WHERE len(w) > 0),
         grams AS (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM g),
         near AS (
-            SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.size) + any_value(b.size) - count(*) AS total
-            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        SELECT doc_a, doc_b, common::INTEGER AS overlap, common::DOUBLE / total AS jaccard FROM near WHERE common >= 0.5 * total
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.size) + any_value(b.size) - count(*) AS total
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM near WHERE common >= 0.5 * total UNION ALL SELECT y, x FROM near WHERE common >= 0.5 * total),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x)
+        SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE links.x = c.doc_id) AS links FROM classes c
     """,
     "op8_fair_mix": r"""
         WITH t AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS s FROM documents),

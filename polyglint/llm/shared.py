@@ -1,45 +1,8 @@
-"""Session helpers of the subpackage: the shared folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers of the subpackage, under the names that its modules use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from polyglint.session import BROADCAST_BYTES, discard, fits, partitions_for, shared_folder, shuffle_partitions, small
+from polyglint.session import saved as written
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="polyglint-")
-            context.setCheckpointDir(folder)
-        return folder
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def semi_by_key(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of df whose key is in keys: broadcast while keys has at most limit rows, shuffled beyond."""
-    if keys.limit(limit + 1).count() <= limit:
-        keys = F.broadcast(keys)
-    return df.join(keys, key, "left_semi")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["BROADCAST_BYTES", "discard", "fits", "partitions_for", "shared_folder", "shuffle_partitions", "small", "written"]

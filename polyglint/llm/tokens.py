@@ -8,6 +8,8 @@ Python loop over words or characters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +40,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, _CHUNK + (1 << 16))
             inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
@@ -47,7 +49,22 @@ class _Powers:
 
 
 _POWERS = _Powers()
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
+#: Texts are worked on in pieces of about so many bytes, so that a worker's arrays stay small.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about most_bytes of a string or binary column each; a longer value is a piece of its own."""
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    at, n = 0, len(sizes)
+    ends = np.cumsum(sizes)
+    while at < n:
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+        stop = min(stop, at + 60_000)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def utf8(texts) -> tuple[np.ndarray, np.ndarray]:

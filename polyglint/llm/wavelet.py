@@ -292,8 +292,6 @@ def shards(docs: DataFrame, vocabulary: str, tokens_per_shard: int = 2_000_000,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .jaccard import slices
-
         coder = tokenizer(vocabulary)
         partition = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
@@ -308,7 +306,7 @@ def shards(docs: DataFrame, vocabulary: str, tokens_per_shard: int = 2_000_000,
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(row, _SHARD)], schema=_SHARD)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in tokens.slices(batch, "text"):
                 found, offsets = coder.encode(part.column("text"))
                 names = part.column("doc_id").to_pylist()
                 at = 0

@@ -70,42 +70,69 @@ def near_copies() -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 8, "block": 10}])
+OPTIONS = [{}, {"crowd": 8, "block": 10}, {"crowd": 3, "block": 4, "block_grams": 500}]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
 def test_similar_pairs_equal_brute_force(spark, options):
     rows = near_copies()
     docs = table(spark, [(i, t, "en", "a") for i, t in rows])
     found = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_pairs(docs, **options).collect()}
-    want = similar_by_force(rows)
+    want = {k: v for k, v in similar_by_force(rows).items() if v < 1}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 8, "block": 10}])
-def test_all_pairs_hold_copies_too(spark, options):
+def classes_by_force(rows: list[tuple[int, str | None]], threshold: float = 0.5) -> dict[int, tuple[int, int]]:
+    """doc_id -> (class, links), by comparing every two documents."""
+    sets = [(i, shingles(t)) for i, t in sorted(set(rows), key=str)]
+    parent, links = {i: i for i, _ in rows}, dict.fromkeys([i for i, _ in rows], 0)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if a and b and len(a & b) >= threshold * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: (root(i), n) for i, n in links.items()}
+
+
+@pytest.mark.parametrize("options", [*OPTIONS, {"threshold": 0.8}, {"threshold": 0.3, "crowd": 8, "block": 10}])
+def test_classes_equal_brute_force(spark, options):
     rows = near_copies()
     rows += [(len(rows) + k, rows[3 * k][1]) for k in range(30)]
     docs = table(spark, [(i, t, "en", "a") for i, t in rows])
-    found = [(r.doc_a, r.doc_b, r.overlap, r.jaccard) for r in jaccard.all_pairs(docs, **options).collect()]
-    sets = [(i, shingles(t)) for i, t in rows]
-    want = {(i, j): (len(a & b), len(a & b) / len(a | b)) for i, a in sets for j, b in sets if i < j and 2 * len(a & b) >= len(a | b)}
-    assert len(found) == len(want) and {(a, b): (n, s) for a, b, n, s in found} == want
-    assert len(want) > len(similar_by_force(rows)) + 40 * 39 // 2 - 40
+    found = [(r.doc_id, (r.class_id, r.links)) for r in jaccard.classes(docs, **options).collect()]
+    assert len(found) == len(rows) and dict(found) == classes_by_force(rows, options.get("threshold", 0.5))
 
 
-def test_all_pairs_of_odd_rows(spark):
-    rows = [(1, prose(30, 1)), (1, prose(30, 1)), (2, prose(30, 1)), (2, prose(30, 2)), (3, prose(30, 2)), (4, prose(30, 1)), (4, prose(30, 2))]
-    docs = odd(spark).unionByName(table(spark, [(100 + i, t, "en", "a") for i, t in rows]))
-    found = sorted((r.doc_a, r.doc_b) for r in jaccard.all_pairs(docs).collect())
-    assert found == [(5, 102), (5, 103), (5, 104), (8, 9), (101, 102), (101, 104), (102, 103), (102, 104), (103, 104)]
-    assert jaccard.all_pairs(docs.limit(0)).count() == 0
+@pytest.mark.parametrize("sizes", [(4, 8), (8, 16), (16, 32), (3, 6), (100, 200), (1, 2)])
+def test_sizes_at_the_edge_of_a_band_meet(spark, sizes):
+    words = [f"w{k}" for k in range(max(sizes) + 2)]
+    rows = [(k, " ".join(words[: n + 2])) for k, n in enumerate(sizes)]
+    assert {r.links for r in jaccard.classes(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()} == {1}
 
 
-def test_similar_pairs_of_odd_rows(spark):
-    docs = odd(spark)
-    assert {(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(docs).collect()} == {(8, 9)}
-    kept = jaccard.drop_near_copies(docs)
+def test_classes_of_odd_rows(spark):
+    rows = [(1, prose(30, 1)), (1, prose(30, 1)), (2, prose(30, 1)), (2, prose(30, 7)), (3, prose(30, 7)), (4, prose(30, 8)), (4, None), (5, prose(30, 9)), (5, "")]
+    docs = odd(spark).unionByName(table(spark, [(100 + i, t, "en", "a") for i, t in rows]))
+    found = sorted((r.doc_id, r.class_id, r.links) for r in jaccard.classes(docs).collect())
+    assert found == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 1), (9, 8, 1), (101, 101, 1), (102, 101, 2), (103, 101, 1), (104, 104, 0), (105, 105, 0)]
+    kept = jaccard.drop_near_copies(odd(spark))
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 2 3 4 None 5 5 6 7 8".split())
-    assert jaccard.similar_pairs(docs.limit(0)).count() == 0 and jaccard.drop_near_copies(docs.limit(0)).count() == 0
+    for f in (jaccard.classes, jaccard.similar_pairs, jaccard.drop_near_copies):
+        assert f(docs.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k, 1000) for k in range(200)] + [(7000, 7000)]
+    found = {r.node: r.part for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{k: 0 for k in range(301)}, **{1000 + k: 1000 for k in range(200)}}
 
 
 def test_one_of_each_group_stays(spark):
@@ -126,7 +153,7 @@ def test_one_of_each_group_stays(spark):
 def test_links_of_many_crowded_ngrams_stay_negative():
     grams, ids = np.repeat(np.arange(2200, dtype=np.uint32), 4), np.tile(np.arange(4, dtype=np.int64), 2200)
     packed = pa.RecordBatch.from_pydict({"bucket": [0], "grams": [grams.tobytes()], "ids": [ids.tobytes()], "sizes": [np.full(len(ids), 3000, np.int32).tobytes()]}, schema=jaccard._PACKED)
-    found = pa.Table.from_batches(jaccard._tile_hits(0.5, 4, 0.04, 3, 1_000_000)([packed])).to_pylist()
+    found = pa.Table.from_batches(jaccard._bucket_hits(0.5, 4, 0.04, 3, 1_000_000)([packed])).to_pylist()
     assert sorted((r["a"], r["b"]) for r in found) == [(0, 0), (0, 1), (0, 2), (0, 3)] and all(r["hits"] < 0 for r in found)
 
 
@@ -137,7 +164,7 @@ def test_signatures_bound_the_overlap():
         b = np.unique(np.concatenate([b, a[: len(a) // 2]]))
         x, y = jaccard.bitmap(a, 256), jaccard.bitmap(b, 256)
         bound = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
-        assert bound >= jaccard.overlap(a, b) == len(np.intersect1d(a, b))
+        assert bound >= len(np.intersect1d(a, b))
 
 
 def best_passage(item: list[str], text: list[str]) -> int:
