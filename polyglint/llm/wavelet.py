@@ -1,98 +1,151 @@
 """Token ids of documents as wavelet matrices, one compressed file per shard.
 
 A wavelet matrix keeps one plane of bits per bit of a token id, the ids stably sorted by
-the bits above.  With counts of ones per block a plane answers rank, and so the matrix
-answers access, count, rank and select without ever holding the ids themselves.
+the bits above.  With counts of ones before every chunk a plane answers rank, and so the
+matrix answers access, count, rank and select without ever holding the ids themselves.
+
+The file has its rank directory at the front and each chunk of a plane as a frame of its
+own: a question reads the directory and a few chunks, whatever the size of the shard.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import io
 import struct
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 
-MAGIC = b"PGWM1\n"
-BLOCK_WORDS = 8  # 64-bit words per counted block
+MAGIC = b"PGWM2\n\0\0"
+_HEAD = struct.Struct("<8sqqqq")  # magic, tokens, planes, documents, bits per chunk
+CHUNK_BITS = 1 << 16
 #: The pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Plane:
-    """A bit vector with rank and select."""
-
-    def __init__(self, packed: np.ndarray, n: int) -> None:
-        words = -(-max(n, 1) // (64 * BLOCK_WORDS)) * BLOCK_WORDS
-        raw = np.zeros(words * 8, dtype=np.uint8)
-        raw[: len(packed)] = packed
-        self.n, self.raw = n, raw
-        per_block = np.bitwise_count(raw.view(np.uint64)).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(per_block)])
+class WaveletMatrix:
+    """Token access, counting and occurrence lookup over one shard file.
 
-    def __getitem__(self, i: int) -> int:
-        return int(self.raw[i >> 3] >> (7 - (i & 7))) & 1
+    source is the file's bytes or a readable, seekable file.  The directory is read at
+    once; document ids, token offsets and chunks of planes when they are asked for.
+    """
 
-    def rank1(self, i: int) -> int:
-        """Ones before place i."""
-        block = i // (64 * BLOCK_WORDS)
-        at = block * 8 * BLOCK_WORDS
-        count = int(self.ones[block]) + int(np.bitwise_count(self.raw[at : i >> 3]).sum())
-        if i & 7:
-            count += int(np.bitwise_count(self.raw[i >> 3] >> np.uint8(8 - (i & 7))))
+    def __init__(self, source, kept_chunks: int = 256) -> None:
+        self._file = io.BytesIO(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
+        head = self._read(0, _HEAD.size)
+        if len(head) < _HEAD.size or head[: len(MAGIC)] != MAGIC:
+            raise ValueError("no wavelet shard")
+        _, self.n, self.width, self.documents, self.chunk = _HEAD.unpack(head)
+        self.chunks = -(-self.n // self.chunk)
+        cells = self.width * self.chunks
+        directory = np.frombuffer(self._read(_HEAD.size, 8 * (self.width + 3 + 2 * cells)), "<i8")
+        if len(directory) < self.width + 3 + 2 * cells:
+            raise ValueError("shard cut short")
+        self.zeros = directory[: self.width].tolist()
+        #: ones of a plane before each of its chunks
+        self.ones = directory[self.width : self.width + cells].reshape(self.width, self.chunks)
+        self._ends = directory[self.width + cells :]  # of the frames: document ids, which of them are null, offsets, chunks
+        self._data = _HEAD.size + 8 * len(directory)
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        self._cache: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        self._kept, self._doc_ids, self._starts = kept_chunks, None, None
+        #: chunks that were unpacked so far
+        self.unpacked = 0
+
+    def _read(self, at: int, size: int) -> bytes:
+        self._file.seek(at)
+        return self._file.read(size)
+
+    def _frame(self, k: int) -> bytes:
+        start = int(self._ends[k - 1]) if k else 0
+        return self._unpack(self._read(self._data + start, int(self._ends[k]) - start))
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        if self._doc_ids is None:
+            ids = np.frombuffer(self._frame(0), "<i8").astype(object)
+            ids[np.unpackbits(np.frombuffer(self._frame(1), np.uint8))[: len(ids)].astype(bool)] = None
+            self._doc_ids = ids
+        return self._doc_ids
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Token offsets of the documents, and the end."""
+        if self._starts is None:
+            self._starts = np.frombuffer(self._frame(2), "<i8")
+        return self._starts
+
+    def _bits(self, level: int, chunk: int) -> np.ndarray:
+        """The packed bits of a chunk, in whole words."""
+        key = (level, chunk)
+        if key not in self._cache:
+            raw = self._frame(3 + level * self.chunks + chunk)
+            self._cache[key] = np.frombuffer(raw + b"\0" * (-len(raw) % 8), np.uint8)
+            self.unpacked += 1
+            if len(self._cache) > self._kept:
+                self._cache.popitem(last=False)
+        else:
+            self._cache.move_to_end(key)
+        return self._cache[key]
+
+    def bit(self, level: int, i: int) -> int:
+        bits, i = self._bits(level, i // self.chunk), i % self.chunk
+        return int(bits[i >> 3] >> (7 - (i & 7))) & 1
+
+    def rank1(self, level: int, i: int) -> int:
+        """Ones of a plane before place i."""
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        chunk, rest = divmod(i, self.chunk)
+        count = int(self.ones[level, chunk])
+        if rest:
+            bits, words = self._bits(level, chunk), rest >> 6
+            count += int(np.bitwise_count(bits[: words * 8].view(np.uint64)).sum()) + int(np.bitwise_count(bits[words * 8 : rest >> 3]).sum())
+            if rest & 7:
+                count += int(np.bitwise_count(bits[rest >> 3] >> np.uint8(8 - (rest & 7))))
         return count
 
-    def rank(self, bit: int, i: int) -> int:
-        return self.rank1(i) if bit else i - self.rank1(i)
-
-    def select(self, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) occurrence of the bit."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.rank(bit, mid + 1) <= k:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+    def _rank(self, level: int, bit: int, i: int) -> int:
+        return self.rank1(level, i) if bit else i - self.rank1(level, i)
 
-
-class WaveletMatrix:
-    """Token access, counting and occurrence lookup over one shard."""
-
-    def __init__(self, planes: list[Plane], zeros: list[int], n: int, doc_ids: np.ndarray, starts: np.ndarray) -> None:
-        self.planes, self.zeros, self.n, self.doc_ids, self.starts = planes, zeros, n, doc_ids, starts
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) such bit of a plane: its chunk by the directory, then within it."""
+        before = self.ones[level] if bit else np.arange(self.chunks) * self.chunk - self.ones[level]
+        chunk = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self._bits(level, chunk))[: min(self.chunk, self.n - chunk * self.chunk)]
+        return chunk * self.chunk + int(np.flatnonzero(bits == bit)[k - int(before[chunk])])
 
     def access(self, i: int) -> int:
         """The token at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for plane, zeros in zip(self.planes, self.zeros):
-            bit = plane[i]
+        for level in range(self.width):
+            bit = self.bit(level, i)
             out = out << 1 | bit
-            i = zeros + plane.rank1(i) if bit else i - plane.rank1(i)
+            i = self.zeros[level] + self.rank1(level, i) if bit else i - self.rank1(level, i)
         return out
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """The run of the token's copies among the first i places, in the order of the last plane."""
         lo, hi = 0, i
-        width = len(self.planes)
-        if token < 0 or token >> width:
+        if token < 0 or token >> self.width:
             return 0, 0
-        for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
-            bit = token >> (width - 1 - level) & 1
-            lo, hi = plane.rank(bit, lo), plane.rank(bit, hi)
+        for level in range(self.width):
+            bit = token >> (self.width - 1 - level) & 1
+            lo, hi = self._rank(level, bit, lo), self._rank(level, bit, hi)
             if bit:
-                lo, hi = lo + zeros, hi + zeros
+                lo, hi = lo + self.zeros[level], hi + self.zeros[level]
         return lo, hi
 
     def rank(self, token: int, i: int) -> int:
@@ -109,21 +162,21 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         at = lo + k
-        width = len(self.planes)
-        for level in reversed(range(width)):
-            bit = token >> (width - 1 - level) & 1
-            at = self.planes[level].select(bit, at - self.zeros[level] if bit else at)
+        for level in reversed(range(self.width)):
+            bit = token >> (self.width - 1 - level) & 1
+            at = self._select(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def tokens(self) -> np.ndarray:
         """All tokens, undoing the planes from the last to the first."""
         order = np.zeros(self.n, dtype=np.uint32)
-        for level in reversed(range(len(self.planes))):
-            bits = np.unpackbits(self.planes[level].raw)[: self.n].astype(bool)
+        for level in reversed(range(self.width)):
+            parts = [np.unpackbits(self._bits(level, c))[: min(self.chunk, self.n - c * self.chunk)] for c in range(self.chunks)]
+            bits = np.concatenate(parts).astype(bool) if parts else np.zeros(0, dtype=bool)
             back = np.empty(self.n, dtype=np.uint32)
             back[~bits] = order[: self.zeros[level]]
             back[bits] = order[self.zeros[level] :]
-            order = back | (bits.astype(np.uint32) << np.uint32(len(self.planes) - 1 - level))
+            order = back | (bits.astype(np.uint32) << np.uint32(self.width - 1 - level))
         return order
 
     def document(self, k: int) -> list[int]:
@@ -131,38 +184,59 @@ class WaveletMatrix:
         return [self.access(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))]
 
 
-def encode(ids: np.ndarray, width: int, doc_ids: list[int | None], starts: np.ndarray, level: int = 1) -> bytes:
-    """The shard file: magic, length and JSON header, then zstandard frames of starts and planes."""
-    packer = zstandard.ZstdCompressor(level=level)
-    now = ids
-    frames, zeros = [packer.compress(starts.astype("<i8").tobytes())], []
+def encode(ids: np.ndarray, width: int, doc_ids: list[int | None], starts: np.ndarray, level: int = 1, chunk_bits: int = CHUNK_BITS) -> bytes:
+    """The shard file: head, directory (zeros of each plane, ones before each chunk, ends of the frames), zstandard frames."""
+    pack = zstandard.ZstdCompressor(level=level, write_checksum=False).compress
+    blank = np.array([d is None for d in doc_ids], dtype=bool)
+    frames = [pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), pack(np.packbits(blank).tobytes()), pack(starts.astype("<i8").tobytes())]
+    now, zeros, ones = ids, [], []
     for at in range(width - 1, -1, -1):
-        bits = (now >> now.dtype.type(at)) & now.dtype.type(1)
-        ones = bits.view() != 0
-        frames.append(packer.compress(np.packbits(ones).tobytes()))
-        low = now[~ones]
+        set_bits = (now >> now.dtype.type(at)) & now.dtype.type(1) != 0
+        packed = np.packbits(set_bits)
+        frames += [pack(packed[c : c + chunk_bits // 8].tobytes()) for c in range(0, len(packed), chunk_bits // 8)]
+        if len(now):
+            found = np.add.reduceat(set_bits, np.arange(0, len(now), chunk_bits), dtype=np.int64)
+            ones.append(np.cumsum(found) - found)
+        low = now[~set_bits]
         zeros.append(len(low))
-        now = np.concatenate([low, now[ones]])
-    header = json.dumps({"n": len(ids), "width": width, "zeros": zeros, "doc_ids": doc_ids, "frames": [len(f) for f in frames]}).encode()
-    header = packer.compress(header)
-    return MAGIC + struct.pack("<q", len(header)) + header + b"".join(frames)
+        now = np.concatenate([low, now[set_bits]])
+    directory = np.concatenate([np.array(zeros, "<i8"), *ones, np.cumsum([len(f) for f in frames])]).astype("<i8")
+    return _HEAD.pack(MAGIC, len(ids), width, len(doc_ids), chunk_bits) + directory.tobytes() + b"".join(frames)
 
 
 def decode(blob: bytes) -> WaveletMatrix:
-    """Open a shard file; raises ValueError if it isn't one."""
-    if blob[: len(MAGIC)] != MAGIC:
-        raise ValueError("no wavelet shard")
-    unpacker = zstandard.ZstdDecompressor()
-    at = len(MAGIC) + 8
-    (size,) = struct.unpack("<q", blob[len(MAGIC) : at])
-    header = json.loads(unpacker.decompress(blob[at : at + size]))
-    at += size
-    parts = []
-    for length in header["frames"]:
-        parts.append(unpacker.decompress(blob[at : at + length]))
-        at += length
-    planes = [Plane(np.frombuffer(p, np.uint8), header["n"]) for p in parts[1:]]
-    return WaveletMatrix(planes, header["zeros"], header["n"], np.array(header["doc_ids"], dtype=object), np.frombuffer(parts[0], "<i8"))
+    """Open a shard's content; raises ValueError if it isn't one."""
+    return WaveletMatrix(blob)
+
+
+def open_shard(path: str) -> WaveletMatrix:
+    """Open a shard file on any file system that pyarrow knows; only what a question needs is read."""
+    files, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return WaveletMatrix(files.open_input_file(place))
+
+
+def write_shards(shard_table: DataFrame, folder: str) -> DataFrame:
+    """(shard, path, bytes): each shard as a file `<shard>.pgwm` below folder, a URI that all workers can write to.
+
+    A file appears under its name only once it is whole, so a task that is run again loses
+    and doubles nothing.  Written when the result is read; an empty table writes nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+                files.create_dir(root, recursive=True)
+                waiting = f"{root}/.{name}.{attempt}"
+                with files.open_output_stream(waiting) as out:
+                    out.write(content.as_buffer())
+                files.move(waiting, f"{root}/{name}.pgwm")
+                rows.append((name, f"{folder.rstrip('/')}/{name}.pgwm", len(content.as_buffer())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["shard", "path", "bytes"])
+
+    return shard_table.select("shard", "content").mapInArrow(run, "shard string, path string, bytes long")
 
 
 class Tokenizer:
@@ -281,13 +355,14 @@ _SHARD_SQL = "shard string, documents long, tokens long, doc_ids array<long>, st
 _SHARD = pa.schema([("shard", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("content", pa.binary())])
 
 
-def shards(docs: DataFrame, vocabulary: str, tokens_per_shard: int = 2_000_000, slice_bytes: int = 4 << 20) -> DataFrame:
+def shards(docs: DataFrame, vocabulary: str, tokens_per_shard: int = 2_000_000) -> DataFrame:
     """One row per shard: its name, sizes, document ids, token offsets and the file's content.
 
     Documents stay where and in the order in which they lie, so nothing is shuffled; a
     shard is closed once it has tokens_per_shard tokens, never within a document.  A null
     or empty text is a document without tokens, a null doc_id stays null, repeated rows
-    are kept, extra columns are ignored, and an empty table gives no shards.
+    are kept, extra columns are ignored, and an empty table gives no shards.  A very long
+    text is one document of one shard, which it may make larger than asked for.
     vocabulary is the path of a rank file that all workers can read.
     """
 
