@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyglint.session import fresh_path
+
 from . import decontaminate, html_consensus, jaccard, language_id, mixing, ordinal, quality_rules, secrets, warc, wavelet
 
 #: A public byte-level vocabulary; any rank file of that kind will do.
@@ -62,8 +64,10 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as archives with dictionaries, read back and validated record by record."""
-    records = warc.read_records(warc.pack_pages(_table(spark, sf_dir, "pages")))
+    """Pages written as archive files with dictionaries, read back as streams and validated record by record."""
+    folder = fresh_path(spark, "archives")
+    warc.write_archives(warc.pack_pages(_table(spark, sf_dir, "pages")), folder)
+    records = warc.scan(spark, folder)
     page = F.col("headers").getItem("x-page-id").cast("long").alias("page_id")
     return records.select(page, F.col("uri").alias("url"), "type", "length", F.decode("block", "utf-8").alias("html"), "error")
 
