@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import html
 import random
@@ -11,8 +12,10 @@ import time
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from polyglint.llm import html_consensus, mixing, registry, warc, wavelet
 from tests.llm.test_text_operators import odd, prose, table
@@ -60,6 +63,33 @@ def test_cut_narrows_in_bins(spark):
         assert mixing._cut(timed, budget, bins=4, few=5) == last
 
 
+def test_cut_among_many_documents_of_one_time(spark):
+    rows = [(k, " " * (k % 7) if k % 10 else prose(3, k), "en", "ab"[k % 2]) for k in range(400)] + [(1, "", "en", "a")] * 50
+    want = [i for i, _ in mixed_by_force(rows, {}, 0.5)]
+    timed = mixing.mix(table(spark, rows), budget_share=1.0)
+    assert timed.where("virtual_finish = 0").count() > 10
+    found = timed.select(F.col("virtual_finish").alias("finish"), mixing.shuffle_key(F.col("doc_id")).alias("key"), F.md5("text").alias("tie"), "tokens")
+    budget = int(timed.agg(F.sum("tokens")).first()[0] * 0.5)
+    assert mixing._cut(found, budget, bins=4, few=5) == mixing._cut(found, budget)
+    kept = [r.doc_id for r in mixing.mix(table(spark, rows), budget_share=0.5).collect()]
+    assert sorted(kept) == sorted(want)
+
+
+def test_mix_of_plain_files_and_of_other_plans(spark, tmp_path):
+    rows = [(k, prose(k % 23, k), "en", "abc"[k % 3]) for k in range(200)]
+    table(spark, rows).repartition(5).write.parquet(f"{tmp_path}/d")
+    files = spark.read.parquet(f"{tmp_path}/d")
+    assert mixing._is_scan(files) and mixing._is_scan(files.where("doc_id > 3").select("doc_id", "text", "source"))
+    assert not mixing._is_scan(files.union(files)) and not mixing._is_scan(table(spark, rows)) and not mixing._is_scan(files.join(files, "doc_id"))
+    want = [i for i, _ in mixed_by_force(rows, {"a": 2.0}, 0.6)]
+    for docs in (files, files.union(files.limit(0)), table(spark, rows)):
+        assert [r.doc_id for r in mixing.mix(docs, {"a": 2.0}, budget_share=0.6).collect()] == want
+
+
+def test_word_counts_equal_split():
+    texts = ["", " ", "a", " a", "a ", "a\tb\r\nc", None, "b", "\u00a0x y", "é è", "x" * 3_000_000 + " y"]
+    assert mixing.word_counts(pa.array(texts)).tolist() == [len([w for w in re.split("[ \\t\\r\\n]+", t or "") if w]) for t in texts]
+
 def test_mix_of_odd_rows(spark):
     docs = odd(spark)
     assert mixing.mix(docs, budget_share=1.0).count() == 11
@@ -73,7 +103,8 @@ def test_wavelet_answers_as_a_list_does():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 1000):
         ids = rng.integers(0, 37, n).astype(np.uint16)
-        matrix = wavelet.decode(wavelet.encode(ids, 6, [5, None], np.array([0, n // 2, n])))
+        matrix = wavelet.decode(wavelet.encode(ids, 6, [5, None], np.array([0, n // 2, n]), chunk_bits=64))
+        assert matrix.doc_ids.tolist() == [5, None] and matrix.starts.tolist() == [0, n // 2, n]
         assert matrix.tokens().tolist() == ids.tolist() == [matrix.access(i) for i in range(n)]
         for token in (0, 5, 36, 63, 64):
             places = np.flatnonzero(ids == token).tolist()
@@ -83,9 +114,28 @@ def test_wavelet_answers_as_a_list_does():
         wavelet.decode(b"something else")
 
 
-def test_shards_hold_the_tokenizers_ids(spark):
-    import pyarrow as pa
+def test_a_question_reads_little_of_a_shard_file(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 1_500_000).astype(np.uint16)
+    blob = wavelet.encode(ids, 16, [1], np.array([0, len(ids)]))
+    shards = spark.createDataFrame([("a", bytearray(blob)), ("b", bytearray(wavelet.encode(ids[:0], 16, [], np.array([0]))))], "shard string, content binary")
+    for _ in range(2):  # writing again changes nothing
+        written = {r.shard: r for r in wavelet.write_shards(shards, f"file://{tmp_path}/out").collect()}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.pgwm", "b.pgwm"] and written["a"].bytes == len(blob)
+    assert wavelet.open_shard(written["b"].path).n == 0
+    matrix = wavelet.open_shard(written["a"].path)
+    assert [matrix.access(i) for i in (0, 777_777, 1_499_999)] == ids[[0, 777_777, 1_499_999]].tolist()
+    assert matrix.unpacked <= 3 * 16 < 0.2 * 16 * matrix.chunks
+    token = int(ids[123_456])
+    places = np.flatnonzero(ids == token)
+    assert matrix.count(token) == len(places) and matrix.select(token, len(places) // 2) == places[len(places) // 2]
+    assert (wavelet.decode(blob).tokens() == ids).all() and len(blob) < 1.01 * ids.nbytes
+    for bad in (blob[:20], blob[:100], b""):
+        with pytest.raises(ValueError):
+            wavelet.decode(bad)
 
+
+def test_shards_hold_the_tokenizers_ids(spark):
     coder = wavelet.tokenizer(registry.VOCABULARY)
     texts = ["", "a  b\n\nc", "it's  we'll\tdon't 12345 ###", " lead and trail ", "línea 漢字　🙂 x", "a\nb\nc", "<|endoftext|>", prose(500, 1), "x  y z\u0085w"]
     found, offsets = coder.encode(pa.array(texts))
@@ -152,6 +202,60 @@ def test_damaged_archives():
     assert next(warc.read_archive(head[:50])).error.startswith("dictionary")
 
 
+def by_hand(block: bytes, *lines: str, length: str | None = None) -> bytes:
+    """A record written without the module's writer."""
+    head = ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:x>", "WARC-Date: 2020-02-02T02:02:02Z", *lines, f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archive_files_written_by_hand(spark, tmp_path):
+    pack = zstandard.ZstdCompressor().compress
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    sha1, sha256 = hashlib.sha1(block).digest(), hashlib.sha256(block).digest()
+    good = [f"sha1:{base64.b32encode(sha1).decode()}", f"SHA1: {sha1.hex().upper()}", f"sha-256:{sha256.hex()}", f"sha256:{base64.b32encode(sha256).decode().rstrip('=')}", "blake9:whatever"]
+    records = [by_hand(block, f"WARC-Block-Digest: {d}", "WARC-Target-URI: http://x/", f"X-N: {k}") for k, d in enumerate(good)]
+    bad = [by_hand(block, f"WARC-Block-Digest: sha1:{base64.b32encode(sha256).decode()[:32]}"), by_hand(block, length="\u00b2"), by_hand(block, length="9" * 30), by_hand(block, length="-1"), by_hand(block, length="\u0664")]
+    dictionary = b"WARC/1.0 WARC-Type: response WARC-Record-ID: <urn:x> HTTP/1.1 200 OK" * 4
+    squeeze = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
+    skipped = struct.pack("<II", 0x184D2A50, 5) + b"other"
+    for name, raw in (("raw", dictionary), ("packed", pack(dictionary))):
+        head = struct.pack("<II", 0x184D2A5D, len(raw)) + raw
+        (tmp_path / f"{name}.warc.zst").write_bytes(head + b"".join(map(squeeze, records[:2])) + skipped + b"".join(map(squeeze, records[2:] + bad)))
+    (tmp_path / "none.warc.zst").write_bytes(b"")
+    (tmp_path / "plain.warc.zst").write_bytes(pack(records[0]))
+    (tmp_path / "other.txt").write_bytes(b"not an archive")
+    rows = warc.scan(spark, str(tmp_path)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.archive.rsplit("/", 1)[1], []).append(r)
+    assert by.keys() == {"raw.warc.zst", "packed.warc.zst", "plain.warc.zst"}
+    for name in ("raw.warc.zst", "packed.warc.zst"):
+        assert [r.error for r in by[name]] == [None] * 5 + ["block digest differs"] + ["malformed content-length"] * 4
+        assert [r.headers.get("x-n") for r in by[name][:5]] == list("01234") and all(bytes(r.block) == block and r.uri == "http://x/" for r in by[name][:5])
+    assert warc.scan(spark, str(tmp_path)).count() == 21 and spark.createDataFrame([(None, None)], "name string, content binary").transform(warc.read_records).count() == 0
+
+
+def test_cut_archives_say_so():
+    pack = zstandard.ZstdCompressor().compress
+    whole = pack(by_hand(b"abc"))
+    raw = pack(random.Random(1).randbytes(4000))
+    for cut, error in (
+        (whole + struct.pack("<II", 0x184D2A51, 100) + b"x" * 50, "skippable frame cut short"),
+        (whole + struct.pack("<II", 0x184D2A51, 1), "skippable frame cut short"),
+        (whole + whole[:-2], "frame cut short"),
+        (whole + b"\x50\x2a", "frame"),
+        (whole + b"rubbish that is no frame", "frame"),
+    ):
+        found = list(warc.read_archive(cut))
+        assert len(found) == 2 and found[0].error is None and error in found[1].error
+    for head in (raw[:-500], raw[:2000]):
+        found = list(warc.read_archive(struct.pack("<II", 0x184D2A5D, len(head)) + head + whole))
+        assert len(found) == 1 and found[0].error.startswith("dictionary")
+    for n in range(1, 8):
+        assert [bool(r.error) for r in warc.read_archive(struct.pack("<II", 0x184D2A5D, 9)[:n])] == [True]
+    assert next(warc.read_archive(struct.pack("<II", 0x184D2A5D, 99) + b"short")).error.startswith("dictionary")
+
+
 def test_records_after_an_oversized_one():
     rng = random.Random(3)
     blocks = [b"first", rng.randbytes(400_000), b"a" * 400_000, b"last", b"very last"]
