@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyglint.session import saved, small
+
 #: Bibliographic codes and the terminological ones that replace them.
 TERMINOLOGICAL = dict(
     pair.split("=")
@@ -44,10 +46,6 @@ NAMES = dict(
 CORE = tuple("ara bul cat ces dan deu ell eng est fas fin fra heb hrv hun ind ita kor lav lit nld nno nob pol por ron rus slk slv spa srp swe tha tur ukr vie zho".split())
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
-
-
 def parse(tag: Column) -> Column:
     """struct(lang, script) of a BCP-47 tag; lang is null where no language code can be told.
 
@@ -72,11 +70,6 @@ def name(locale: Column) -> Column:
     return F.when(locale["script"] == "", locale["lang"]).otherwise(F.concat_ws("-", locale["lang"], locale["script"]))
 
 
-def make_name(lang: Column, script: Column) -> Column:
-    """The tag of a language in a script, to be parsed again."""
-    return F.concat_ws("-", lang, script)
-
-
 def display(locale: Column) -> Column:
     """'code (Name)'; a language without a known name shows its code."""
     shown = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in NAMES.items() for x in p]), locale["lang"]), locale["lang"])
@@ -96,11 +89,13 @@ def weakly_equal(result: Column, target: Column) -> Column:
 
 def supported(wanted: DataFrame, models: DataFrame, tag: str = "lang") -> DataFrame:
     """Rows of wanted whose tag some model satisfies; models has one row per language tag."""
-    have = models.select(parse(F.col(tag)).alias("__have")).distinct()
-    rows = wanted.withColumn("__want", parse(F.col(tag)))
-    return rows.join(F.broadcast(have), weakly_equal(F.col("__have"), F.col("__want")), "left_semi").drop("__want")
+    have = models.select(parse(F.col("lang")).alias("__have")).distinct()
+    # tags are told apart first: rows meet the few that are supported by equality alone
+    tags = wanted.select(F.col(tag).alias("__tag")).distinct().withColumn("__want", parse(F.col("__tag")))
+    good = tags.join(have, weakly_equal(F.col("__have"), F.col("__want")), "left_semi").select("__tag")
+    return wanted.join(small(saved(good, "tags")), F.col(tag) == F.col("__tag"), "left_semi")
 
 
-def dimension(spark: SparkSession) -> DataFrame:
-    """(lang, language): names by code."""
-    return spark.createDataFrame(sorted(NAMES.items()), "lang string, language string")
+def rejected(rows: DataFrame, tag: str = "lang") -> DataFrame:
+    """Rows whose tag names no language, null and empty ones among them."""
+    return rows.where(parse(F.col(tag))["lang"].isNull())

@@ -12,6 +12,7 @@ are columns of one row per text, so that detection has one small shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyglint.functions import text as T
-from polyglint.session import spread
+from polyglint.functions import vector as V
+from polyglint.operators.lookup import Lookup, Reader
+from polyglint.session import discard, fits, saved, spread
 
 ALPHA = 2e-6
 DAMPENING = 1e-3
@@ -30,8 +33,8 @@ LEAST_POSTERIOR = 0.1
 GOOD_POSTERIOR = 0.99
 #: Known ngrams between two looks at the leading language.
 CHECK_EVERY = 110
-#: A table of ngrams of more rows than this isn't broadcast.
-BROADCAST_ROWS = 2_000_000
+#: A table of ngrams of more bytes than this isn't broadcast.
+MODEL_BYTES = 128 << 20
 
 
 def probabilities(models: DataFrame) -> DataFrame:
@@ -60,32 +63,47 @@ def wide(gained: DataFrame, langs: list[str]) -> DataFrame:
     return gained.groupBy("ngram").agg(F.lit(1.0).alias("known"), *each)
 
 
-def along_prefixes(table: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """(w, columns...): for each ngram of table the sums over all its prefixes that are in table, itself included."""
-    rows = T.prefixes(table.select(F.col("ngram").alias("w")), n).join(table, "ngram")
-    return rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in columns])
+def held(table: DataFrame, columns: list[str], n: int = T.MAX_N, limit: int = MODEL_BYTES) -> Lookup | None:
+    """table (ngram, columns...) as workers hold it; None where it has more than `limit` bytes.
 
-
-def text_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, text: str, n: int = T.MAX_N, limit: int = BROADCAST_ROWS) -> DataFrame:
+    It is stored first, so that its size is known before any of it comes to the driver.
+    """
+    stored = saved(table.select("ngram", *columns), "ngrams")
+    try:
+        if not fits(stored, limit):
+            return None
+        rows = stored.toArrow()
+    finally:
+        discard(stored)
+    values = np.stack([rows.column(c).to_numpy() for c in columns], axis=1) if columns else np.zeros((rows.num_rows, 0))
+    return Lookup(rows.column("ngram").to_pylist(), values, n)
+
+
+def text_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, text: str, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> DataFrame:
     """(key, ngrams, columns...): sums of table's columns over all ngram occurrences of each text.
 
-    Up to `limit` ngrams the table is broadcast with its sums along prefixes: a position of
+    Up to `limit` bytes the table is broadcast with its sums along prefixes: a position of
     a text looks up the longest known ngram that starts there, so that text rows are
-    neither multiplied nor shuffled, and only one partial sum per text leaves a task.  A
-    larger table meets the distinct windows of each text in a shuffled join.  Null texts
-    have no ngrams and sums of 0.
+    neither multiplied nor shuffled, and only one sum per text leaves a task.  A larger
+    table meets the distinct windows of each text in a shuffled join.  Null texts have no
+    ngrams and sums of 0; a key that occurs in several rows gets the sum of its rows.
     """
-    windows = spread(docs.select(key, text)).select(key, F.explode_outer(T.windows(T.normalize(F.col(text)), n)).alias("w"))
-    sums = along_prefixes(table, columns, n)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    if table.count() <= limit:
-        rows = windows
-        for k in range(n, 0, -1):
-            part = sums.where(F.length("w") == k).select(F.col("w").alias(f"w{k}"), F.struct(*columns).alias(f"s{k}"))
-            rows = rows.join(F.broadcast(part), F.substring("w", 1, k) == F.col(f"w{k}"), "left")
-        found = F.coalesce(*[F.col(f"s{k}") for k in range(n, 0, -1)])
-        rows = rows.select(key, F.length("w").alias("size"), *[found[c].alias(c) for c in columns])
-        return rows.groupBy(key).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("ngrams"), *[total(c).alias(c) for c in columns])
+    small = held(table, columns, n, limit)
+    if small is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(small.along_prefixes())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in V.pieces(batch, "__text"):
+                    count, sums = shared.value.sums(part.column("__text"))
+                    yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(count, pa.int64()), *[pa.array(sums[:, k]) for k in range(len(columns))]], ["__key", "ngrams", *columns])
+
+        kind = dict(docs.dtypes)[key]
+        rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")))
+        rows = rows.mapInArrow(run, f"__key {kind}, ngrams long, " + ", ".join(f"`{c}` double" for c in columns))
+        return rows.groupBy(F.col("__key").alias(key)).agg(F.coalesce(F.sum("ngrams"), F.lit(0)).alias("ngrams"), *[total(c).alias(c) for c in columns])
+    windows = spread(docs.select(key, text)).select(key, F.explode_outer(T.windows(T.normalize(F.col(text)), n)).alias("w"))
     terms = windows.groupBy(key, "w").agg(F.count("w").alias("tf"))
     met = T.prefixes(terms.select("w").distinct(), n).join(table, "ngram").groupBy("w").agg(*[F.sum(c).alias(c) for c in columns])
     rows = terms.join(met, "w", "left")
@@ -195,79 +213,36 @@ def known_in_order(docs: DataFrame, models: DataFrame, key: str, text: str, n: i
     return rows.select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos", "len")).alias("k"), "ngram")
 
 
-class Reader:
-    """Reads normalised texts until their language is sure: ngram hashes in a sorted array, gains in a matrix."""
-
-    def __init__(self, ngrams: list[str], gains: np.ndarray, base: float, every: int, n: int) -> None:
-        self.base, self.every, self.n = base, every, n
-        hashes = np.array([self.hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32), 0, 1)[0, len(g) - 1] for g in ngrams], dtype=np.uint64)
-        order = np.argsort(hashes)
-        self.keys, self.gains = hashes[order], gains[order]
-
-    def hashes(self, chars: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Hash of the ngram of each length (columns) at each place from low to high; 0 beyond the end."""
-        out = np.zeros((high - low, self.n), dtype=np.uint64)
-        part = chars[low : high + self.n].astype(np.uint64)
-        now = np.full(high - low, 0x9E3779B97F4A7C15, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.n):
-                size = min(high - low, len(part) - k)
-                if size <= 0:
-                    break
-                now = now[:size] * np.uint64(0xD6E8FEB86659FD93) + part[k : k + size] + np.uint64(1)
-                now ^= now >> np.uint64(29)
-                out[:size, k] = now
-        return out
-
-    def read(self, norm: str | None) -> tuple[int, np.ndarray]:
-        """Known ngrams read, and the score of each language."""
-        chars = np.frombuffer((norm or "").encode("utf-32-le"), np.uint32)
-        known, sums, leader, at, block = 0, np.zeros(self.gains.shape[1]), None, 0, 256
-        while at < len(chars) and len(self.keys):
-            stop = min(len(chars), at + block)
-            wanted = self.hashes(chars, at, stop).ravel()
-            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            place = place[self.keys[place] == wanted]
-            running = sums + np.cumsum(self.gains[place], axis=0)
-            for look in range(self.every - known % self.every, len(place) + 1, self.every):
-                scores = running[look - 1]
-                weights = np.exp(scores - scores.max())
-                best = int(weights.argmax())
-                now = best if weights[best] > GOOD_POSTERIOR * weights.sum() else None
-                if now is not None and now == leader:
-                    return known + look, (known + look) * self.base + scores
-                leader = now
-            if len(place):
-                sums, known = running[-1], known + len(place)
-            at, block = stop, min(2 * block, 1 << 16)
-        return known, known * self.base + sums
-
-
-def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = BROADCAST_ROWS) -> DataFrame:
+def reader(models: DataFrame, langs: list[str], every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> Reader | None:
+    """What reads texts until their language is sure; None for a model set of more than `limit` bytes."""
+    table = wide(gains(probabilities(models), alpha, dampening), langs)
+    small = held(table, [f"g{i}" for i in range(len(langs))], n, limit)
+    return None if small is None else Reader(small, floor_of(alpha, dampening), every, GOOD_POSTERIOR)
+
+
+def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> DataFrame:
     """(key, rank, lang, posterior, stopped_at): detection that stops once it is sure.
 
     After each `every` known ngrams the language above GOOD_POSTERIOR is noted; when two
     looks in a row agree the rest of the text is not read.  stopped_at counts the known
-    ngrams that were read, all of them where it never stops.  A text is read in order, so
-    this is one vectorised pass without a shuffle over a model set of up to `limit` ngrams,
-    whose size is checked; a larger one is joined.
+    ngrams that were read, all of them where it never stops.  A text is read in order and
+    block by block, so this is one vectorised pass without a shuffle over a model set of
+    up to `limit` bytes, whose size is checked; a larger one is joined.
     """
     langs = language_list(models)
-    table = wide(gains(probabilities(models), alpha, dampening), langs)
-    if not langs or table.count() > limit:
+    small = reader(models, langs, every, alpha, dampening, n, limit) if langs else None
+    if small is None:
         return early_stop_joined(docs, models, key, text, every, alpha, dampening, n)
-    rows = table.drop("known").toArrow()
-    matrix = np.stack([rows.column(f"g{i}").to_numpy() for i in range(len(langs))], axis=1)
-    shared = docs.sparkSession.sparkContext.broadcast((rows.column("ngram").to_pylist(), matrix, floor_of(alpha, dampening), every, n))
+    shared = docs.sparkSession.sparkContext.broadcast(small)
 
     def run(batches):
-        reader = Reader(*shared.value)
         for batch in batches:
-            found = [reader.read(x.as_py()) for x in batch.column("norm")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([k for k, _ in found], pa.int64()), pa.array([s.tolist() for _, s in found], pa.list_(pa.float64()))], names=["key", "stopped_at", "scores"])
+            found = [shared.value.read(x) for x in batch.column("t").to_pylist()]
+            scores = [shared.value.scores(f).tolist() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([f[0] for f in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["key", "stopped_at", "scores"])
 
     kind = dict(docs.dtypes)[key]
-    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("t"))).select("key", T.normalize(F.col("t")).alias("norm"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")))
     rows = rows.mapInArrow(run, f"key {kind}, stopped_at long, scores array<double>")
     rows = rows.withColumn("scores", F.transform("scores", lambda s: F.exp(s - F.array_max("scores"))))
     rows = rows.withColumn("whole", F.aggregate("scores", F.lit(0.0), lambda a, s: a + s))

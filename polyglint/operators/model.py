@@ -6,11 +6,18 @@ language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyglint.functions import locale as L
 from polyglint.functions import text as T
+from polyglint.functions import vector as V
 from polyglint.session import spread
 
 SCALE = 1_000_000
@@ -19,14 +26,30 @@ LEAST_NGRAMS = 4000 * 4
 
 
 def counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
-    """(lang, ngram, n).
+    """(lang, ngram, n); null texts have no ngrams, a null language is one of its own.
 
-    Windows are counted first, one per character, and split into their prefixes only
-    once they are distinct: a quarter of the rows of counting every ngram.
+    Windows are counted first, one per character and where the texts lie, and split into
+    their prefixes only once they are distinct.
     """
-    rows = spread(labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
-    seen = T.explode_windows(rows, "text", ["lang"], n).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    return T.prefixes(seen, n).groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    rows = spread(labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")))
+    seen = rows.where("text is not null").mapInArrow(_window_rows(n), "lang string, w string, n long")
+    return T.prefixes(seen.groupBy("lang", "w").agg(F.sum("n").alias("n")), n).groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+
+
+def _window_rows(n: int):
+    """Partial counts of windows per language, of some megabytes of text each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.pieces(batch, "text", 4 << 20):
+                names = part.column("lang").dictionary_encode()
+                place = pc.fill_null(names.indices, len(names.dictionary)).to_numpy(zero_copy_only=False)
+                for k in np.unique(place).tolist():
+                    windows, counts = V.window_counts(part.column("text").filter(pa.array(place == k)), n)
+                    lang = names.dictionary[k].as_py() if k < len(names.dictionary) else None
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(windows), pa.string()), pa.array(windows, pa.string()), pa.array(counts, pa.int64())], ["lang", "w", "n"])
+
+    return run
 
 
 def hashed_counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
@@ -118,6 +141,20 @@ def get_model(models: DataFrame, lang: str) -> DataFrame:
     return found
 
 
+def has_model(models: DataFrame, wanted: DataFrame, tag: str = "lang") -> DataFrame:
+    """(tag, has_model) for each wanted tag: whether some model's language satisfies it."""
+    tags = wanted.select(F.col(tag).alias(tag)).distinct()
+    there = L.supported(tags, languages(models), tag).select(F.col(tag).alias("__tag")).distinct()
+    return tags.join(there, F.col(tag) == F.col("__tag"), "left").select(tag, F.col("__tag").isNotNull().alias("has_model"))
+
+
+def dump(models: DataFrame, lang: str | None = None) -> DataFrame:
+    """(lang, line): the ngrams of each model as lines `ngram<TAB>count`, most frequent first within a language."""
+    rows = models if lang is None else get_model(models, lang)
+    line = F.concat_ws("\t", F.col("ngram").cast("string"), F.col("norm_count").cast("string")).alias("line")
+    return rows.orderBy("lang", F.desc("norm_count"), "ngram").select("lang", line)
+
+
 def subset(models: DataFrame, langs: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
     """Models of some languages, or of all but some; an empty list of langs means all."""
     if langs:
@@ -158,8 +195,10 @@ def separability(models: DataFrame, alpha: float) -> DataFrame:
     """
     a = models.select(F.col("lang").alias("lang_a"), "ngram", F.col("norm_count").alias("count_a"))
     b = models.select(F.col("lang").alias("lang_b"), "ngram", F.col("norm_count").alias("count_b"))
-    langs = models.select(F.col("lang").alias("lang_b")).distinct()
-    rows = a.crossJoin(F.broadcast(langs)).where("lang_a <> lang_b").join(b, ["lang_b", "ngram"], "left").fillna(0, ["count_b"])
+    # a row per ngram and other language: languages are few, and a list of them needs no join
+    langs = [r.lang for r in models.select("lang").distinct().orderBy("lang").collect()]
+    rows = a.withColumn("lang_b", F.explode(F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>"))).where("lang_a <> lang_b")
+    rows = rows.join(b, ["lang_b", "ngram"], "left").fillna(0, ["count_b"])
     total = F.col("count_a") + F.col("count_b")
     times = F.floor(total / F.lit(1000.0) + F.lit(0.5))
     other = F.when(F.col("count_b") == 0, F.lit(alpha)).otherwise(F.col("count_b") / total)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from polyglint.functions import locale as L
 from polyglint.functions import text as T
+from polyglint.functions.sql import register_detection, register_ngrams
 from polyglint.operators import corpus as C
 from polyglint.operators import detect as D
 from polyglint.operators import evaluate as E
@@ -215,7 +216,7 @@ def detect_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detect_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of the detection of the benchmark items."""
-    found = D.trace(table(spark, sf_dir, "benchmark"), trained(spark, sf_dir), "item_id", least=1e-4)
+    found = D.trace(table(spark, sf_dir, "benchmark"), trained(spark, sf_dir), "item_id")
     return found.select("item_id", "k", "ngram", "lang", six("prob"), six())
 
 
@@ -249,20 +250,74 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tune(docs(spark, sf_dir), trained(spark, sf_dir), GRID)
 
 
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tag): those of the documents, and some of every kind that the rules know."""
+    known = spark.createDataFrame([(t,) for t, *_ in oracle.TAGS], "tag string")
+    return docs(spark, sf_dir).select(F.col("lang").alias("tag")).union(known).distinct()
+
+
 @query
 def locale_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = docs(spark, sf_dir).select(F.col("lang").alias("tag")).distinct().withColumn("l", L.parse(F.col("tag")))
-    return tags.select("tag", "l.lang", "l.script", L.name(F.col("l")).alias("name"), L.display(F.col("l")).alias("display"))
+    rows = tags(spark, sf_dir).withColumn("l", L.parse(F.col("tag")))
+    return rows.where("l.lang is not null").select("tag", "l.lang", "l.script", L.name(F.col("l")).alias("name"), L.display(F.col("l")).alias("display"))
+
+
+@query
+def locale_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.rejected(tags(spark, sf_dir), "tag")
 
 
 @query
 def locale_weak_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = docs(spark, sf_dir).select("lang").distinct()
-    pairs = tags.select(F.col("lang").alias("result")).crossJoin(tags.select(F.col("lang").alias("target")))
+    """Every pair of the known tags."""
+    known = spark.createDataFrame([(t, [x[0] for x in oracle.TAGS]) for t, *_ in oracle.TAGS], "result string, target array<string>")
+    pairs = known.select("result", F.explode("target").alias("target"))
     a, b = L.parse(F.col("result")), L.parse(F.col("target"))
+    pairs = pairs.where(a["lang"].isNotNull() & b["lang"].isNotNull())
     return pairs.select("result", "target", L.weakly_equal(a, b).alias("weakly"), L.strictly_equal(a, b).alias("strictly"))
 
 
+@query
+def model_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some languages the trained set has a model for."""
+    wanted = spark.createDataFrame([(t,) for t in oracle.WANTED], "tag string")
+    return M.has_model(trained(spark, sf_dir), wanted, "tag")
+
+
+@query
+def model_core_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models saved by tier, and those of the core tier loaded."""
+    folder = fresh_path(spark, "tiers")
+    S.save(M.train(docs(spark, sf_dir)), folder)
+    return S.load_core(spark, folder)
+
+
+@query
+def model_kept_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder without models leaves those at hand as they are."""
+    models = trained(spark, sf_dir)
+    return S.load_or_keep(spark, fresh_path(spark, "no-models"), models)
+
+
+@query
+def model_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dump(trained(spark, sf_dir))
+
+
+@query
+def sql_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function, called from SQL."""
+    register_ngrams(spark)
+    return spark.sql("SELECT g.len, g.ngram, count(*) AS n FROM {docs} d, LATERAL ngrams(d.text, 3) g GROUP BY ALL", docs=docs(spark, sf_dir))
+
+
+@query
+def sql_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection function, called from SQL."""
+    register_detection(spark, trained(spark, sf_dir))
+    return spark.sql("SELECT doc_id, r.lang, round(r.posterior, 6) AS posterior FROM (SELECT doc_id, detect_language(text) AS r FROM {docs})", docs=docs(spark, sf_dir))
+
+
 @query
 def supported_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.supported(docs(spark, sf_dir).select("doc_id", "lang"), M.languages(trained(spark, sf_dir)))
@@ -361,9 +416,22 @@ def lang_budget_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.completed(lang_char_budget(spark, sf_dir), BUDGET)
 
 
+def two_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each document with a second half in Cyrillic letters, as the tables hold Latin ones only."""
+    text = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", F.concat(text, F.lit("\n"), F.translate(text, *oracle.CYRILLIC)).alias("text"))
+
+
 @query
 def non_latin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.beyond_latin(C.lines(docs(spark, sf_dir), keys=("doc_id",)))
+    return C.beyond_latin(C.lines(two_scripts(spark, sf_dir), keys=("doc_id",)))
+
+
+@query
+def non_latin_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines beyond Latin with their best and second language, but for English ones."""
+    found = C.beyond_latin_report(C.lines(two_scripts(spark, sf_dir), keys=("doc_id",)), trained(spark, sf_dir))
+    return found.withColumns({c: six(c) for c in ("posterior", "second_posterior")})
 
 
 @query

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import math
 
+from polyglint.functions import locale as L
 from polyglint.functions.text import BLANK, MERGED
 from polyglint.operators import detect as D
 
 F0 = D.floor_of(D.ALPHA, D.DAMPENING)
+#: Tags with the language and script that they stand for, written down by hand; None: no language.
+TAGS = [
+    ("ger", "deu", ""), ("deu", "deu", ""), ("DE", "deu", ""), ("de-AT", "deu", ""), ("fre", "fra", ""), ("cy", "cym", ""), ("wel", "cym", ""), ("sv", "swe", ""), ("chi", "zho", ""), ("zh-TW", "zho", "Hant"),
+    ("zh-CN", "zho", "Hans"), ("zh-hant", "zho", "Hant"), ("zho-Hans-CN", "zho", "Hans"), ("zho-Hant", "zho", "Hant"), ("zho", "zho", ""), ("sr-Cyrl", "srp", ""), ("sr-Latn", "srp", "Latn"), ("uz-Latn", "uzb", ""), ("az-Cyrl", "aze", "Cyrl"),
+    ("az-Latn", "aze", ""), ("bs-Latn", "bos", ""), ("ms-Latn", "msa", ""), ("tk-Latn", "tuk", ""), ("mn-Cyrl", "mon", ""), ("mn-Mong", "mon", "Mong"), ("pa-Guru", "pan", ""), ("pa-Arab", "pan", "Arab"), ("nb", "nob", ""), ("nno", "nno", ""),
+    ("nor", "nor", ""), ("no", "nor", ""), ("iw", "heb", ""), ("in", "ind", ""), ("alb", "sqi", ""), ("may", "msa", ""), ("mao", "mri", ""), ("rum", "ron", ""), ("q", None, None), ("", None, None), ("12", None, None), ("english", None, None), ("xx", None, None),
+]
+#: Languages to look for among the models.
+WANTED = ["en", "eng", "ger", "fra", "es", "jpn", "nor", "zho-Hant"]
+#: Latin letters, and Cyrillic ones in their place.
+CYRILLIC = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абцдефгхийклмнопярстувшхызАБЦДЕФГХИЙКЛМНОПЯРСТУВШХЫЗ")
+_TAGS = ", ".join(f"('{t}', {l and repr(l) or 'NULL'}, {'NULL' if x is None else repr(x)})" for t, l, x in TAGS)
 
 
 def fold(text: str) -> str:
@@ -83,28 +96,38 @@ CLIPPED = f"""cn AS (SELECT doc_id, lang, CASE WHEN length(x) > 1 THEN rtrim(x)
         cg AS (SELECT lang, substr(w, 1, len) AS ngram, count(*) AS n FROM cw, (SELECT unnest([1, 2, 3, 4]) AS len) WHERE len <= length(w) AND pos <= greatest(0, size - 3) GROUP BY ALL),
         vocab AS (SELECT DISTINCT ngram FROM cg), {JOAAT},
         hc AS (SELECT lang, hash AS ngram, sum(n) AS n FROM cg JOIN hashed USING (ngram) GROUP BY ALL)"""
-STOP = f"""{MODEL}, {PROBS},
-        kn AS (SELECT doc_id, ngram, row_number() OVER (PARTITION BY doc_id ORDER BY pos, len) AS k FROM g WHERE ngram IN (SELECT ngram FROM m)),
-        tf AS (SELECT doc_id, ceil(k / 110.0)::INTEGER AS step, ngram, count(*) AS tf FROM kn GROUP BY ALL),
-        seen AS (SELECT doc_id, step, sum(tf) AS seen FROM tf GROUP BY ALL),
-        gn AS (SELECT doc_id, step, lang, sum(tf * (ln(prob + (1e0 - prob) * 0.001) - ({F0!r})::DOUBLE)) AS gain FROM tf JOIN p USING (ngram) GROUP BY ALL),
-        cs AS (SELECT doc_id, step, ls.lang, sum(seen) OVER x AS read, sum(coalesce(gain, 0)) OVER x AS gain FROM seen CROSS JOIN (SELECT DISTINCT lang FROM m) ls LEFT JOIN gn USING (doc_id, step, lang)
-            WINDOW x AS (PARTITION BY doc_id, ls.lang ORDER BY step ROWS UNBOUNDED PRECEDING)),
-        ex AS (SELECT doc_id, step, lang, read, exp(s - max(s) OVER (PARTITION BY doc_id, step)) AS e FROM (SELECT *, read::DOUBLE * ({F0!r})::DOUBLE + gain AS s FROM cs)),
-        po AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, step) AS posterior FROM ex),
-        lo AS (SELECT doc_id, step, max(CASE WHEN posterior > 0.99 AND read = step * 110 THEN lang END) AS leader FROM po GROUP BY ALL),
-        la AS (SELECT *, lag(leader) OVER (PARTITION BY doc_id ORDER BY step) AS before FROM lo),
-        st AS (SELECT doc_id, coalesce(min(CASE WHEN leader = before THEN step END), max(step)) AS step FROM la GROUP BY ALL),
-        fin AS (SELECT doc_id, lang, posterior, read FROM po JOIN st USING (doc_id, step) UNION ALL
-            SELECT d.doc_id, ls.lang, 1e0 / count(*) OVER (PARTITION BY d.doc_id), 0 FROM {DOCS} d CROSS JOIN (SELECT DISTINCT lang FROM m) ls WHERE d.doc_id NOT IN (SELECT doc_id FROM st))
+def stopped(source: str, key: str, keys: str, order: str = "") -> str:
+    """fin (key, lang, posterior, read): detection up to the step at which two looks agree; st (key, step, sure)."""
+    return f"""{MODEL}, {PROBS},
+        kn AS (SELECT {key}, ngram, row_number() OVER (PARTITION BY {key} ORDER BY {order}pos, len) AS k FROM {source} WHERE ngram IN (SELECT ngram FROM m)),
+        tf AS (SELECT {key}, ceil(k / 110.0)::INTEGER AS step, ngram, count(*) AS tf FROM kn GROUP BY ALL),
+        seen AS (SELECT {key}, step, sum(tf) AS seen FROM tf GROUP BY ALL),
+        gn AS (SELECT {key}, step, lang, sum(tf * (ln(prob + (1e0 - prob) * 0.001) - ({F0!r})::DOUBLE)) AS gain FROM tf JOIN p USING (ngram) GROUP BY ALL),
+        cs AS (SELECT {key}, step, ls.lang, sum(seen) OVER x AS read, sum(coalesce(gain, 0)) OVER x AS gain FROM seen CROSS JOIN (SELECT DISTINCT lang FROM m) ls LEFT JOIN gn USING ({key}, step, lang)
+            WINDOW x AS (PARTITION BY {key}, ls.lang ORDER BY step ROWS UNBOUNDED PRECEDING)),
+        ex AS (SELECT {key}, step, lang, read, exp(s - max(s) OVER (PARTITION BY {key}, step)) AS e FROM (SELECT *, read::DOUBLE * ({F0!r})::DOUBLE + gain AS s FROM cs)),
+        po AS (SELECT *, e / sum(e) OVER (PARTITION BY {key}, step) AS posterior FROM ex),
+        lo AS (SELECT {key}, step, max(CASE WHEN posterior > 0.99 AND read = step * 110 THEN lang END) AS leader FROM po GROUP BY ALL),
+        la AS (SELECT *, lag(leader) OVER (PARTITION BY {key} ORDER BY step) AS before FROM lo),
+        st AS (SELECT {key}, coalesce(min(CASE WHEN leader = before THEN step END), max(step)) AS step, coalesce(bool_or(leader = before), false) AS sure FROM la GROUP BY ALL),
+        fin AS (SELECT {key}, lang, posterior, read FROM po JOIN st USING ({key}, step) UNION ALL
+            SELECT d.{key}, ls.lang, 1e0 / count(*) OVER (PARTITION BY d.{key}), 0 FROM {keys} d CROSS JOIN (SELECT DISTINCT lang FROM m) ls WHERE d.{key} NOT IN (SELECT {key} FROM st))"""
+
+
+STOP = f"""{stopped('g', 'doc_id', DOCS)}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(posterior, 9) DESC, lang)::INTEGER AS rank, lang, round(posterior, 6) AS posterior, read::BIGINT AS stopped_at FROM fin WHERE posterior >= 0.1"""
+CONVERSATIONS = "(SELECT DISTINCT conv_id FROM conversations)"
+SURE = f"""{stopped('b', 'conv_id', CONVERSATIONS, 'o, ').replace(PROBS + ',', PROBS + ', ' + grams('b', 'conversations', 'conv_id', order='turn') + ',')},
+        rk AS (SELECT conv_id, lang, posterior, read, row_number() OVER (PARTITION BY conv_id ORDER BY round(posterior, 9) DESC, lang) AS rank FROM fin)
+        SELECT conv_id, read::BIGINT AS stopped_at, coalesce(sure, false) AS enough, CASE WHEN posterior >= 0.1 THEN lang END AS lang, CASE WHEN posterior >= 0.1 THEN round(posterior, 6) END AS posterior
+        FROM rk LEFT JOIN st USING (conv_id) WHERE rank = 1"""
 TRACE = f"""{MODEL}, {PROBS}, {grams('b', 'benchmark', 'item_id')},
         kn AS (SELECT item_id, ngram, row_number() OVER (PARTITION BY item_id ORDER BY pos, len) AS k FROM b WHERE ngram IN (SELECT ngram FROM m)),
         rs AS (SELECT item_id, k, ngram, ls.lang, prob, sum(ln(coalesce(prob, 2e-6) + (1e0 - coalesce(prob, 2e-6)) * 0.001)) OVER (PARTITION BY item_id, ls.lang ORDER BY k) AS s
             FROM kn CROSS JOIN (SELECT DISTINCT lang FROM m) ls LEFT JOIN p USING (ngram, lang)),
         ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY item_id, k)) AS e FROM rs),
         po AS (SELECT *, e / sum(e) OVER (PARTITION BY item_id, k) AS posterior FROM ex)
-        SELECT item_id, k::INTEGER AS k, ngram, lang, round(prob, 6) AS prob, round(posterior, 6) AS posterior FROM po WHERE posterior >= 1e-4"""
+        SELECT item_id, k::INTEGER AS k, ngram, lang, round(prob, 6) AS prob, round(posterior, 6) AS posterior FROM po WHERE posterior >= 5e-7"""
 _GRID = " UNION ALL ".join(f"SELECT {a!r}::DOUBLE AS alpha, {d!r}::DOUBLE AS dampening" for a in (2e-6, 1e-4) for d in (1e-3, 2e-2))
 TUNE = f"""{MODEL}, {PROBS}, grid AS ({_GRID}), tf AS (SELECT doc_id, ngram, count(*) AS tf FROM g GROUP BY ALL),
         gn AS (SELECT alpha, dampening, doc_id, p.lang AS l, sum(tf * (ln(prob + (1e0 - prob) * dampening) - ln(alpha + (1e0 - alpha) * dampening))) AS gain FROM tf JOIN p USING (ngram) CROSS JOIN grid GROUP BY ALL),
@@ -113,7 +136,6 @@ TUNE = f"""{MODEL}, {PROBS}, grid AS ({_GRID}), tf AS (SELECT doc_id, ngram, cou
         tp AS (SELECT *, row_number() OVER (PARTITION BY alpha, dampening, doc_id ORDER BY round(gain, 6) DESC, lang) AS rank FROM al)
         SELECT alpha, dampening, count(*) AS texts, sum(CASE WHEN lang = label THEN 0 ELSE 1 END)::BIGINT AS errors FROM tp WHERE rank = 1 GROUP BY ALL"""
 ISO = "CASE {0} WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' WHEN 'it' THEN 'ita' WHEN 'nl' THEN 'nld' WHEN 'pt' THEN 'por' ELSE {0} END"
-NAME = "CASE {0} WHEN 'eng' THEN 'English' WHEN 'deu' THEN 'German' WHEN 'fra' THEN 'French' WHEN 'spa' THEN 'Spanish' ELSE {0} END"
 HELD = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < 858993459"
 HOLDOUT = f"""tr AS (SELECT * FROM documents WHERE NOT ({HELD})), te AS (SELECT * FROM documents WHERE {HELD}),
         {grams('g', 'tr', 'doc_id', extra='lang')}, {model()}, {grams('b', 'te', 'doc_id')}, {scored('b', 'doc_id', '(SELECT DISTINCT doc_id FROM te)')}, {ranked('doc_id')},
@@ -121,6 +143,12 @@ HOLDOUT = f"""tr AS (SELECT * FROM documents WHERE NOT ({HELD})), te AS (SELECT
 RATES = "SELECT label, count(*) AS texts, sum(miss)::BIGINT AS errors, round(avg(miss), 6) AS rate FROM e GROUP BY ROLLUP (label)"
 TOP = "SELECT {0}, lang, round(posterior, 6) AS posterior FROM r WHERE rank = 1"
 
+_NAMES = " ".join(f"WHEN '{code}' THEN '{shown}'" for code, shown in sorted(L.NAMES.items()))
+SHOWN = f"CASE lang {_NAMES} ELSE lang END"
+BEYOND = rf"""tw AS (SELECT doc_id, text || chr(10) || translate(text, '{CYRILLIC[0]}', '{CYRILLIC[1]}') AS text FROM documents),
+        al AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1)::INTEGER AS line_no FROM tw),
+        bl AS (SELECT doc_id, line_no, line FROM al WHERE length(trim(line)) > 0 AND unicode(substr(trim(line), 1, 1)) > 255)"""
+
 SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
     "ngram_counts": f"WITH {TRAIN} SELECT lang, ngram, count(*) AS n FROM g GROUP BY ALL",
@@ -165,10 +193,19 @@ SQL: dict[str, str] = {
     "eval_holdout": f"WITH {HOLDOUT} {RATES}",
     "eval_spread": f"WITH {HOLDOUT}, q AS ({RATES}) SELECT min(rate) AS least, max(rate) AS most, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS deviation FROM q WHERE label IS NOT NULL",
     "tune_grid": f"WITH {TUNE}",
-    "locale_canonical": f"""WITH t AS (SELECT DISTINCT lang AS tag FROM documents), c AS (SELECT tag, {ISO.format('tag')} AS lang FROM t)
-        SELECT tag, lang, '' AS script, lang AS name, lang || ' (' || {NAME.format('lang')} || ')' AS display FROM c""",
-    "locale_weak_match": f"""WITH t AS (SELECT tag, {ISO.format('tag')} AS lang FROM (SELECT DISTINCT lang AS tag FROM documents))
-        SELECT a.tag AS result, b.tag AS target, a.lang = b.lang AS weakly, a.lang = b.lang AS strictly FROM t a, t b""",
+    "locale_canonical": f"""WITH t AS (SELECT DISTINCT lang AS tag, {ISO.format('lang')} AS lang, '' AS script FROM documents UNION SELECT * FROM (VALUES {_TAGS}) v (tag, lang, script) WHERE lang IS NOT NULL)
+        SELECT tag, lang, script, n AS name, n || ' (' || {SHOWN} || ')' AS display FROM (SELECT *, CASE WHEN script = '' THEN lang ELSE lang || '-' || script END AS n FROM t)""",
+    "locale_rejected": f"SELECT tag FROM (VALUES {_TAGS}) v (tag, lang, script) WHERE lang IS NULL",
+    "locale_weak_match": f"""WITH t AS (SELECT * FROM (VALUES {_TAGS}) v (tag, lang, script) WHERE lang IS NOT NULL)
+        SELECT a.tag AS result, b.tag AS target, (a.lang = b.lang OR (a.lang IN ('nob', 'nno') AND b.lang = 'nor')) AND (b.script = '' OR a.script = b.script) AS weakly, a.lang = b.lang AND a.script = b.script AS strictly FROM t a, t b""",
+    "model_presence": f"""WITH {MODEL}, w AS (SELECT unnest({WANTED!r}) AS tag)
+        SELECT tag, CASE tag WHEN 'eng' THEN 'en' WHEN 'ger' THEN 'de' WHEN 'fra' THEN 'fr' ELSE tag END IN (SELECT lang FROM m) AS has_model FROM w""",
+    "model_core_load": f"WITH {MODEL} SELECT lang, ngram, norm_count FROM m WHERE lang IN ('en', 'de', 'fr', 'es')",
+    "model_kept_load": f"WITH {MODEL} SELECT lang, ngram, norm_count FROM m",
+    "model_dump": f"WITH {MODEL} SELECT lang, ngram || chr(9) || norm_count AS line FROM m",
+    "sql_ngrams": f"WITH {TRAIN} SELECT len, ngram, count(*) AS n FROM g WHERE len <= 3 GROUP BY ALL",
+    "sql_detect": f"WITH {DETECT} {TOP.format('doc_id')}",
+    "stream_until_sure": f"WITH {SURE}",
     "supported_docs": f"WITH {MODEL} SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM m)",
     "chunked_detect": f"WITH {CHUNKS} {TOP.format('conv_id')}",
     "stream_detect": f"WITH {CHUNKS} {TOP.format('conv_id')}",
@@ -187,8 +224,10 @@ SQL: dict[str, str] = {
         SELECT * FROM b WHERE chars_before < 100000""",
     "lang_budget_complete": """WITH b AS (SELECT lang, n_chars, coalesce(sum(least(n_chars, 10240)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
         SELECT lang, sum(least(n_chars, 10240))::BIGINT AS chars, sum(least(n_chars, 10240)) >= 100000 AS complete FROM b WHERE before < 100000 GROUP BY lang""",
-    "non_latin_lines": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1)::INTEGER AS line_no FROM documents)
-        SELECT doc_id, line_no, line FROM l WHERE length(trim(line)) > 0 AND unicode(substr(trim(line), 1, 1)) > 255""",
+    "non_latin_lines": f"WITH {BEYOND} SELECT * FROM bl",
+    "non_latin_report": f"""WITH {MODEL}, {BEYOND}, bk AS (SELECT *, doc_id || '/' || line_no AS k FROM bl), {grams('b', 'bk', 'k', 'line')}, {scored('b', 'k', '(SELECT k FROM bk)')}, {ranked('k')}
+        SELECT doc_id, line_no, line, x.lang, round(x.posterior, 6) AS posterior, y.lang AS second_lang, round(y.posterior, 6) AS second_posterior
+        FROM bk LEFT JOIN r x ON x.k = bk.k AND x.rank = 1 LEFT JOIN r y ON y.k = bk.k AND y.rank = 2 WHERE coalesce(x.lang, '') <> 'en'""",
     "joaat_ngrams": f"WITH {TRAIN}, vocab AS (SELECT DISTINCT ngram FROM g), {JOAAT} SELECT ngram, hash FROM hashed",
     "hashed_counts": f"WITH {CLIPPED} SELECT lang, ngram, n::BIGINT AS n FROM hc",
     "model_roundtrip": f"""WITH {CLIPPED} SELECT lang, 4 AS max_n, ngram, floor(n * (1e6 / total::DOUBLE) + 0.5)::BIGINT AS norm_count FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM hc)

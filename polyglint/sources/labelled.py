@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglint.operators import corpus
@@ -60,13 +60,27 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*columns).withColumn("rank", F.expr("try_cast(rank AS int)")).where("iso <> 'xxx'")
 
 
+def _isos() -> Column:
+    return F.when(F.col("wiki") == "zh", F.array(F.lit("zho-Hant"), F.lit("zho-Hans"))).otherwise(F.array("iso"))
+
+
 def iso_of_wiki(codes: DataFrame) -> DataFrame:
     """(wiki, iso): Chinese stands for both of its scripts."""
-    each = F.when(F.col("wiki") == "zh", F.array(F.lit("zho-Hant"), F.lit("zho-Hans"))).otherwise(F.array("iso"))
-    return codes.select("wiki", F.explode(each).alias("iso"))
+    return codes.select("wiki", F.explode(_isos()).alias("iso"))
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """(topic) of a list with one code per line and # comments."""
     code = F.trim(F.regexp_replace("value", "#.*$", ""))
     return spark.read.text(path).select(code.alias("topic")).where("topic <> ''")
+
+
+def wiki_of_iso(codes: DataFrame) -> DataFrame:
+    """(iso, wiki): the reverse of iso_of_wiki(); of several codes for a language the one of highest rank."""
+    each = codes.select(F.explode(_isos()).alias("iso"), "wiki", "rank")
+    return each.groupBy("iso").agg(F.min(F.struct(F.coalesce("rank", F.lit(1 << 30)), "wiki")).alias("first")).select("iso", "first.wiki")
+
+
+def accept_language(lang: Column) -> Column:
+    """What a request for a page in this language accepts: the script of Chinese, other codes as they are."""
+    return F.when(lang == "zho-Hant", "zh-Hant").when(lang == "zho-Hans", "zh-Hans").otherwise(lang)

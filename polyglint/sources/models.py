@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from polyglint.functions import locale as L
@@ -128,8 +129,11 @@ def to_text(models: DataFrame, max_n: int) -> DataFrame:
     return rows.select("lang", F.concat(head, "lines", F.lit("\n")).alias("content"))
 
 
-def from_text(files: DataFrame, content: str = "value") -> DataFrame:
-    """(lang, max_n, ngram, norm_count); a malformed model raises an error that says what is wrong."""
+def from_text(files: DataFrame, content: str = "value", path: str | None = None) -> DataFrame:
+    """(lang, max_n, ngram, norm_count); a malformed model raises an error that says what is wrong.
+
+    With path, a column of file names, `..._<lang>.txt` must name the language of the header.
+    """
     lines = F.split(F.regexp_replace(content, r"\n+$", ""), "\n")
 
     def header(place: int, name: str):
@@ -137,6 +141,8 @@ def from_text(files: DataFrame, content: str = "value") -> DataFrame:
         fits = F.coalesce(line.startswith(f"{name}: "), F.lit(False))
         return F.when(fits, F.substring(line, len(name) + 3, 1 << 20)).otherwise(F.raise_error(F.lit(f"line {place + 1} of a model isn't '{name}: ...'")))
 
+    named = F.lit(True) if path is None else F.endswith(F.col(path), F.concat(F.lit("_"), F.substring(F.get(lines, F.lit(1)), 11, 1 << 20), F.lit(".txt")))
+    lines = F.when(named, lines).otherwise(F.raise_error(F.concat(F.lit(path and "another language than it holds is named by " or ""), F.col(path) if path else F.lit(""))))
     rows = files.select(F.when(F.size(lines) >= 5, lines).otherwise(F.raise_error(F.lit("a model has fewer than 5 lines"))).alias("lines"))
     lines = F.col("lines")
     rows = rows.select("lines", header(0, "version").alias("version"), header(1, "language").alias("lang"), header(2, "max ngram length").cast("int").alias("max_n"), header(3, "ngrams").cast("int").alias("n"))
@@ -155,13 +161,12 @@ def write_text(models: DataFrame, folder: str, max_n: int = 4, prefix: str = "mo
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*_*.txt", recursiveFileLookup=True)
-    return from_text(files)
+    return from_text(files.select("value", F.col("_metadata.file_path").alias("path")), path="path")
 
 
 def save(models: DataFrame, path: str) -> None:
     """Parquet by tier (core or extras) and language; replaces what is there."""
-    base = F.regexp_extract("lang", "^[^-]+", 0)
-    tier = F.when(base.isin(*L.CORE), "core").otherwise("extras")
+    tier = F.when(L.parse(F.col("lang"))["lang"].isin(*L.CORE), "core").otherwise("extras")
     models.withColumn("tier", tier).repartition("tier", "lang").write.mode("overwrite").partitionBy("tier", "lang").parquet(path)
 
 
@@ -173,3 +178,19 @@ def load(spark: SparkSession, path: str, tier: str | None = None, langs: list[st
     if langs:
         rows = rows.where(F.col("lang").isin(*langs))
     return rows.select("lang", "ngram", "norm_count")
+
+
+def load_core(spark: SparkSession, path: str) -> DataFrame:
+    """The models of the core tier; languages without one are left out, and the folders of others aren't read."""
+    return load(spark, path, tier="core")
+
+
+def load_or_keep(spark: SparkSession, path: str, kept: DataFrame | None, suffix: str = ".txt") -> DataFrame | None:
+    """Models of a folder of text (.txt) or binary (.bin) files; `kept`, the set loaded before, where there are none."""
+    try:
+        found = (read_binary if suffix == ".bin" else read_text)(spark, path)
+        return kept if found.isEmpty() else found.select("lang", "ngram", "norm_count")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return kept

@@ -6,6 +6,7 @@ import math
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from polyglint.operators import detect as D
-from polyglint.session import fresh_path
+from polyglint.session import discard, fits, fresh_path, saved
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -99,42 +100,49 @@ class Detector:
         return sorted(found, key=lambda x: (-round(x[1], 9), x[0]))
 
 
-def model_dict(models: DataFrame, alpha: float = D.ALPHA, dampening: float = D.DAMPENING, limit: int = D.BROADCAST_ROWS) -> tuple[dict[str, dict[str, float]], list[str]]:
+def model_dict(models: DataFrame, alpha: float = D.ALPHA, dampening: float = D.DAMPENING, limit: int = D.MODEL_BYTES) -> tuple[dict[str, dict[str, float]], list[str]]:
     """Gains by ngram and language for Detector; the size of the model set is checked first."""
-    rows = D.gains(D.probabilities(models), alpha, dampening)
-    if (n := models.count()) > limit:
-        raise ValueError(f"{n} model rows; at most {limit} fit a worker")
+    rows = saved(D.gains(D.probabilities(models), alpha, dampening), "gains")
+    if not fits(rows, limit):
+        raise ValueError(f"the model set has more than {limit} bytes")
     out: dict[str, dict[str, float]] = {}
-    for r in rows.toLocalIterator():
-        out.setdefault(r.ngram, {})[r.lang] = r.gain
+    table = rows.toArrow()
+    for ngram, lang, gain in zip(*(table.column(c).to_pylist() for c in ("ngram", "lang", "gain"))):
+        out.setdefault(ngram, {})[lang] = gain
+    discard(rows)
     return out, D.language_list(models)
 
 
-STATE = "known long, sums array<double>, leader string, enough boolean"
+STATE = "known long, sums array<double>, leader int, enough boolean"
 
 
-def detect_until_sure(chunks: DataFrame, models: DataFrame, key: str, text: str = "text", order: str = "turn") -> DataFrame:
+def detect_until_sure(chunks: DataFrame, models: DataFrame, key: str, text: str = "text", order: str = "turn", limit: int = D.MODEL_BYTES) -> DataFrame:
     """(key, stopped_at, enough, lang, posterior) of a stream of chunks; a key that is sure reads no further chunk.
 
-    Within a batch chunks are read in their order.
+    Within a batch chunks are read in their order; null chunks add nothing.  A key's state
+    is a few numbers, whatever it has read.  The model set's size is checked; one beyond
+    `limit` bytes is an error, as a stream can't be joined with it chunk by chunk.
     """
-    from polyglint.functions import text as T
-
-    gains, langs = model_dict(models)
-    shared = chunks.sparkSession.sparkContext.broadcast((gains, langs))
+    langs = D.language_list(models)
+    reader = D.reader(models, langs, limit=limit)
+    if reader is None:
+        raise ValueError(f"the model set has more than {limit} bytes")
+    shared = chunks.sparkSession.sparkContext.broadcast(reader)
     kind = dict(chunks.dtypes)[key]
 
     def run(name, parts: Iterator[pd.DataFrame], state):
-        detector = Detector(*shared.value)
+        now = shared.value.start()
         if state.exists:
-            known, sums, detector.leader, detector.enough = state.get
-            detector.known, detector.sums = known, dict(zip(detector.langs, sums))
-        for _, norm in sorted((row for part in parts for row in zip(part["o"], part["norm"])), key=lambda r: r[0]):
-            if norm is not None:
-                detector.add_normalized(norm)
-        state.update((detector.known, [detector.sums[l] for l in detector.langs], detector.leader, detector.enough))
-        best = detector.detect()
-        yield pd.DataFrame({key: [name[0]], "stopped_at": [detector.known], "enough": [detector.enough], "lang": [best[0][0] if best else None], "posterior": [best[0][1] if best else None]})
-
-    rows = chunks.select(key, F.col(order).alias("o"), T.normalize(F.col(text)).alias("norm"))
+            known, sums, leader, enough = state.get
+            now = (known, np.array(sums, dtype=float), leader, enough)
+        for _, chunk in sorted((row for part in parts for row in zip(part["o"], part["text"])), key=lambda r: r[0]):
+            now = shared.value.read(chunk if isinstance(chunk, str) else None, now)
+        known, sums, leader, enough = now
+        state.update((int(known), [float(x) for x in sums], int(leader), bool(enough)))
+        weights = np.exp(sums - sums.max()) if len(sums) else sums
+        best = min(range(len(langs)), key=lambda i: (-round(weights[i] / weights.sum(), 9), langs[i])) if len(langs) else None
+        found = best is not None and weights[best] / weights.sum() >= D.LEAST_POSTERIOR
+        yield pd.DataFrame({key: [name[0]], "stopped_at": [known], "enough": [enough], "lang": [langs[best] if found else None], "posterior": [weights[best] / weights.sum() if found else None]})
+
+    rows = chunks.select(key, F.col(order).alias("o"), F.col(text).cast("string").alias("text"))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, stopped_at long, enough boolean, lang string, posterior double", STATE, "update", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from polyglint import console
+from polyglint.functions import sql
 from polyglint.functions import text as T
+from polyglint.operators import corpus as C
 from polyglint.operators import detect as D
 from polyglint.operators import evaluate as E
 from polyglint.operators import model as M
@@ -125,7 +128,7 @@ def test_model_files(spark, models, tmp_path):
     S.write_text(models, f"{tmp_path}/t")
     assert M.equal(S.read_text(spark, f"{tmp_path}/t"), models).first().equal
     S.save(models, f"{tmp_path}/p")
-    assert M.equal(S.load(spark, f"{tmp_path}/p", tier="extras"), models).first().equal
+    assert M.equal(S.load_core(spark, f"{tmp_path}/p"), models).first().equal and S.load(spark, f"{tmp_path}/p", tier="extras").isEmpty()
     with pytest.raises(ValueError):
         S.decode_binary(b"\0\0\0\2\0\0")
     with pytest.raises(ValueError):
@@ -143,3 +146,54 @@ def test_stream_of_chunks(spark, models, tmp_path):
         assert all(a.lang == b.lang and abs(a.posterior - b.posterior) < 1e-9 for a, b in zip(r.results, batch[r.conv]))
     sure = stream.run_to_end(stream.detect_until_sure(stream.read_table(spark, f"{tmp_path}/c.parquet"), models, "conv"), "conv").collect()
     assert {r.conv: r.lang for r in sure} == {k: list(TEXTS)[k % 3] for k in range(6)} and all(r.enough for r in sure)
+
+
+def test_models_by_name(spark, models, tmp_path):
+    assert {r.lang for r in M.get_model(models, "de").collect()} == {"de"}
+    with pytest.raises(ValueError):
+        M.get_model(models, "deu")
+    assert {r.lang for r in M.languages(M.subset(models, without=["de"])).collect()} == {"en", "fr"}
+    assert {r.lang for r in M.languages(M.subset(models, ["de", "fr"], ["fr"])).collect()} == {"de"}
+    wanted = spark.createDataFrame([("deu",), ("en",), ("jpn",), (None,)], "tag string")
+    assert {r.tag: r.has_model for r in M.has_model(models, wanted, "tag").collect()} == {"deu": True, "en": True, "jpn": False, None: False}
+    assert M.equal(models, models).first().equal
+    S.write_text(models, f"{tmp_path}/t")
+    assert M.equal(S.load_or_keep(spark, f"{tmp_path}/t", None), models).first().equal
+    (tmp_path / "empty").mkdir()
+    for none in ("empty", "nowhere"):
+        assert S.load_or_keep(spark, f"{tmp_path}/{none}", models) is models and S.load_or_keep(spark, f"{tmp_path}/{none}", None, ".bin") is None
+    (tmp_path / "t" / "model_en.txt").rename(tmp_path / "t" / "model_sv.txt")
+    with pytest.raises(Exception, match="another language"):
+        S.read_text(spark, f"{tmp_path}/t").collect()
+    lines = M.dump(models, "de").collect()
+    assert lines[0].line.split("\t")[0] == " " and len(lines) == M.get_model(models, "de").count()
+
+
+def test_functions_in_sql(spark, models):
+    sql.register(spark, models)
+    docs = spark.createDataFrame([(1, "the fox " * 9), (2, None), (3, ""), (4, TEXTS["de"])], "doc_id long, text string")
+    found = {r.doc_id: r for r in spark.sql("SELECT doc_id, detect_language(text) AS best, detect_languages(text) AS every FROM {d}", d=docs).collect()}
+    for r in D.detect(docs, models).where("rank = 1").collect():
+        assert found[r.doc_id].best.lang == r.lang and abs(found[r.doc_id].best.posterior - r.posterior) < 1e-9
+    assert [len(found[k].every) for k in (1, 2, 3, 4)] == [1, 3, 3, 1]
+    grams = [(r.doc_id, r.pos, r.len, r.ngram) for r in spark.sql("SELECT d.doc_id, g.* FROM {d} d, LATERAL ngrams(d.text, 3) g", d=docs).collect()]
+    want = [(r.doc_id, r.pos, r.len, r.ngram) for r in T.positioned(docs, "text", ["doc_id"], 3).collect()]
+    assert sorted(grams) == sorted(want)
+
+
+def test_lines_beyond_latin_with_their_languages(spark, models):
+    rows = spark.createDataFrame([(1, 1, "\u0416the fox"), (1, 2, "\u0416 der hund und"), (1, 3, "the"), (2, 1, "\u0416 le chien rapide")], "doc_id long, line_no int, line string")
+    found = {(r.doc_id, r.line_no): r for r in C.beyond_latin_report(rows, models).collect()}
+    assert found.keys() == {(1, 2), (2, 1)} and found[1, 2].lang == "de" and found[2, 1].lang == "fr" and found[2, 1].second_lang is None
+
+
+def test_console(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("".join(f"{lang}\t{TEXTS[lang] * 30}\n" for lang in TEXTS for _ in range(4)))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part_sv.txt").write_text("och det var en gång\n" * 400)
+    said = []
+    commands = ["wrong", "build", f"data {tmp_path}/d", "build", f"save {tmp_path}/m", "prune 50", f"load {tmp_path}/nothing", f"load {tmp_path}/m", "damp 0.001", "alpha 2e-6", "lang sv", "detect det var en gång", f"test {tmp_path}/c.tsv", "dump sv", "mode", "build", f"save {tmp_path}/b", f"load {tmp_path}/b", "detect x", "quit", "size"]
+    console.main(["--inputfile", f"{tmp_path}/c.tsv", "--maxngram", "3", "--minngramfreq", "1e-6", "--trace", *[x for c in commands for x in ("--command", c)]], spark, said.append)
+    text = "\n".join(said)
+    assert "unknown command: wrong" in text and "Language 'sv'" in text and "all: 0 of 12 (0.00 %)" in text and "mode: binary" in text and "hashed models" in said[-1]
+    assert {p.name for p in (tmp_path / "m").iterdir()} >= {"model_sv.txt", "model_en.txt", "parquet"} and (tmp_path / "b" / "model_de.bin").exists()
