@@ -36,12 +36,12 @@ def register_ngrams(spark: SparkSession) -> None:
     """
     normal = f"regexp_replace(concat(' ', {_folded('t')}, ' '), r'{BLANK}+', ' ')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(t STRING) RETURNS STRING RETURN {normal}")
-    # a function can't call another one in a generator, so the rule is written out
+    # one generator over nested arrays: with two the engine would join each text with itself
+    each = "transform(sequence(1, length(w)), l -> struct(i, l, substr(w, 1, l)))"
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION ngrams(t STRING, n INT) RETURNS TABLE (pos INT, len INT, ngram STRING)
-        RETURN SELECT w.pos, l.len, substr(w.col, 1, l.len) FROM
-            LATERAL (SELECT * FROM posexplode(regexp_extract_all({normal}, concat('(?s)(?=(.{{1,', n, '}}))'), 1))) w,
-            LATERAL (SELECT * FROM explode(sequence(1, length(w.col))) AS e(len)) l""")
+        RETURN SELECT g.pos, g.len, g.ngram FROM
+            (SELECT inline(flatten(transform(regexp_extract_all({normal}, concat('(?s)(?=(.{{1,', n, '}}))'), 1), (w, i) -> {each}))) AS (pos, len, ngram)) g""")
 
 
 def register_detection(spark: SparkSession, models: DataFrame, alpha: float = D.ALPHA, dampening: float = D.DAMPENING, n: int = MAX_N, limit: int = D.MODEL_BYTES) -> None:
