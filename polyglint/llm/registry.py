@@ -26,11 +26,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(_table(spark, sf_dir, "documents"))
 
 
-def op1_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fences as wide as the sketch of the group says."""
-    return quality_rules.keep_good(_table(spark, sf_dir, "documents"), adaptive=True)
-
-
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -78,7 +73,6 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
-    "op1_quality_rules_adaptive": op1_quality_rules_adaptive,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontaminate": op4_decontaminate,
@@ -103,27 +97,23 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, lang, source, 1000 * sym // (size + 30) AS symbols, 1000 * dig // (size + 30) AS digits, 1000 * cap // (size + 30) AS capitals,
                 100 * size // words AS word_length,
                 CASE WHEN len(lines) = 0 THEN 0 ELSE 1000 * (len(lines) - len(list_distinct(lines))) // len(lines) END AS repeated_lines FROM c),
-        u AS (UNPIVOT f ON symbols, digits, capitals, word_length, repeated_lines INTO NAME feature VALUE value),
-        q AS (
-            SELECT lang, source, feature, count(*) AS n, min(value) FILTER (own_rank * 4 >= own_n) AS own1, min(value) FILTER (own_rank * 4 >= own_n * 3) AS own3,
-                any_value(lang_n) AS lang_n
-            FROM (SELECT *, rank() OVER (PARTITION BY lang, source, feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY lang, source, feature, value) AS own_rank,
-                count(*) OVER (PARTITION BY lang, source, feature) AS own_n, count(*) OVER (PARTITION BY lang, feature) AS lang_n FROM u) GROUP BY ALL),
-        l AS (
-            SELECT lang, feature, min(value) FILTER (r * 4 >= n) AS l1, min(value) FILTER (r * 4 >= n * 3) AS l3
-            FROM (SELECT *, rank() OVER (PARTITION BY lang, feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY lang, feature, value) AS r,
-                count(*) OVER (PARTITION BY lang, feature) AS n FROM u) GROUP BY ALL),
-        a AS (
-            SELECT feature, min(value) FILTER (r * 4 >= n) AS a1, min(value) FILTER (r * 4 >= n * 3) AS a3
-            FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) AS r,
-                count(*) OVER (PARTITION BY feature) AS n FROM u) GROUP BY ALL),
+        u AS (SELECT *, CASE WHEN length(bin(value)) > 6 THEN (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) ELSE value END AS cell
+            FROM (UNPIVOT f ON symbols, digits, capitals, word_length, repeated_lines INTO NAME feature VALUE value)),
+        c1 AS (SELECT lang, source, feature, cell, count(*) AS n FROM u GROUP BY ALL),
+        c2 AS (SELECT lang, feature, cell, sum(n) AS n FROM c1 GROUP BY ALL),
+        c3 AS (SELECT feature, cell, sum(n) AS n FROM c1 GROUP BY ALL),
+        r1 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY lang, source, feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM c1),
+        r2 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY lang, feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY lang, feature) AS total FROM c2),
+        r3 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY feature) AS total FROM c3),
+        q1 AS (SELECT lang, source, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r1 GROUP BY ALL),
+        q2 AS (SELECT lang, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r2 GROUP BY ALL),
+        q3 AS (SELECT feature, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r3 GROUP BY ALL),
         p AS (
-            SELECT q.lang, q.source, q.feature, CASE WHEN q.n >= 50 THEN own1 WHEN q.lang_n >= 50 THEN l1 ELSE a1 END AS q1,
-                CASE WHEN q.n >= 50 THEN own3 WHEN q.lang_n >= 50 THEN l3 ELSE a3 END AS q3,
-                CASE q.feature WHEN 'symbols' THEN 60 WHEN 'digits' THEN 250 WHEN 'capitals' THEN 150 WHEN 'word_length' THEN 600 ELSE 400 END AS floor
-            FROM q JOIN l USING (lang, feature) JOIN a USING (feature)),
-        bad AS (SELECT DISTINCT doc_id FROM u JOIN p USING (lang, source, feature)
-            WHERE value < q1 - greatest(3 * (q3 - q1), floor) OR value > q3 + greatest(3 * (q3 - q1), floor))
+            SELECT q1.lang, q1.source, feature, CASE WHEN q1.total >= 50 THEN q1.p WHEN q2.total >= 50 THEN q2.p ELSE q3.p END AS p
+            FROM q1 JOIN q2 USING (lang, feature) JOIN q3 USING (feature)),
+        w AS (SELECT lang, source, feature, p[1] AS low, p[2] AS high, p[2] - p[1] AS spread, greatest(p[2], 3 * (p[3] - p[2]), p[4] - p[2]) AS tail FROM p),
+        bad AS (SELECT DISTINCT doc_id FROM u JOIN w USING (lang, source, feature)
+            WHERE spread > 0 AND (value < low - 3 * spread OR value > high + greatest(3 * spread, high)) OR spread = 0 AND tail > 0 AND value > high + tail)
         SELECT doc_id, lang, source, symbols::INTEGER AS symbols, digits::INTEGER AS digits, capitals::INTEGER AS capitals, word_length::INTEGER AS word_length,
             repeated_lines::INTEGER AS repeated_lines FROM f WHERE doc_id NOT IN (SELECT doc_id FROM bad)
     """,

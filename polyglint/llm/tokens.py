@@ -90,11 +90,23 @@ def words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if lower:
         texts = pc.utf8_lower(texts)
     data, offsets = utf8(texts)
+    return runs(data, offsets, _IS_WORD[data])
+
+
+def lines(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the non-empty lines, and the len+1 offsets of each text."""
+    data, offsets = utf8(texts)
+    hashes, _, _, bounds = runs(data, offsets, data != 10)
+    return hashes, bounds
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the maximal runs of wanted bytes, and the len+1 offsets of each text."""
     size = len(data)
     if size == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = np.empty(size + 1, dtype=bool)
-    inside[:size] = _IS_WORD[data]
+    inside[:size] = wanted
     inside[size] = False
     # a word never crosses a text boundary
     start = inside[:size].copy()

@@ -288,24 +288,42 @@ def test_adaptive_fences_equal_a_plain_recount(spark):
         group = own if len(own) >= 50 else tongue
         failed = []
         for j, name in enumerate(quality_rules.FEATURES):
-            values = sorted(features[k][j] for k in group)
+            values = sorted(grid(features[k][j]) for k in group)
             at = lambda share: values[int(np.ceil(share * len(values) - 1e-9)) - 1]
-            q1, q3 = at(0.25), at(0.75)
-            low = q1 - max(3 * ((q3 - q1) or q1 - at(0.05)), 5)
-            high = q3 + max(3 * ((q3 - q1) or at(0.95) - q3), 5)
-            if not low <= features[i][j] <= high:
+            q1, q3, value = at(0.25), at(0.75), features[i][j]
+            if q3 > q1:
+                bad = value < q1 - 3 * (q3 - q1) or value > q3 + max(3 * (q3 - q1), q3)
+            else:
+                tail = max(q3, 3 * (at(0.95) - q3), at(0.99) - q3)
+                bad = tail > 0 and value > q3 + tail
+            if bad:
                 failed.append(name)
         want[i] = ",".join(failed)
-    assert {r.doc_id: r.failed for r in quality_rules.judged(docs, adaptive=True).collect()} == want
-    assert "word_length" in want[400] and "capitals" in want[401]  # the one is low, beyond what a floor of 600 allows
-    assert 400 in {r.doc_id for r in quality_rules.keep_good(docs).collect()}
-    assert {r.doc_id for r in quality_rules.keep_good(docs, adaptive=True).collect()} == {i for i, x in want.items() if not x}
+    assert {r.doc_id: r.failed for r in quality_rules.judged(docs).collect()} == want
+    assert "word_length" in want[400] and "capitals" in want[401]
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, x in want.items() if not x}
+
+
+def grid(value: int) -> int:
+    step = 1
+    while value // step >= 64:
+        step *= 2
+    return value // step * step
+
+
+def test_grid_cells_are_bounded(spark):
+    values = sorted({v + d for k in range(31) for v in (1 << k, 3 << max(0, k - 1)) for d in (-1, 0, 1) if 0 <= v + d < 1 << 31})
+    found = spark.createDataFrame([(v,) for v in values], "v int").selectExpr("v", f"{quality_rules.cell('v')} AS c").collect()
+    assert all(r.c == grid(r.v) and r.c <= r.v <= r.c + r.c / 32 for r in found)
+    assert len({grid(v) for v in range(1 << 16)}) == 64 + 10 * 32
 
 
 def test_quality_rules_of_odd_rows(spark):
     docs = odd(spark)
     assert quality_rules.judged(docs).count() == 11
     assert quality_rules.keep_good(docs.limit(0)).count() == 0
+    long = quality_rules.judged(table(spark, [(1, "x" * 5_000_000, "en", "a"), (2, "y\n" * 500_000, "en", "a")])).orderBy("doc_id").collect()
+    assert [r.word_length for r in long] == [500_000_000, 100] and long[1].repeated_lines == 999
     null = quality_rules.judged(docs).where("doc_id = 1").first()
     assert (null.symbols, null.digits, null.capitals, null.word_length, null.repeated_lines) == (0, 0, 0, 0, 0)
 
