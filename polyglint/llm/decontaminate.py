@@ -8,6 +8,9 @@ that meet are verified by exact edit distance against all passages around the wi
 
 Windows are opened where the text shares enough word trigrams with some item for a match
 to be possible at all (the q-gram lemma), so nothing is lost by skipping the rest.
+
+Items that are too short for that (fewer than least_words words, or so short that the
+allowed edits could leave no trigram) are matched exactly, word by word.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared import small, written
 
 Q = 3
 
@@ -78,15 +82,28 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
 
 
 class Index:
-    """Items by length class, with walks enough for the target recall at the allowed distance."""
+    """Items by length class, with walks enough for the target recall at the allowed distance.
+
+    Made once, by the driver; workers get it as it is.
+    """
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], share: float, recall: float, bits: int, seed: int) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], share: float, recall: float, bits: int, seed: int, least_words: int = 8) -> None:
         self.share, self.items = share, items
         self.classes: list[dict] = []
         by: dict[int, list[int]] = {}
+        short: dict[int, list[int]] = {}
         for i, (_, words) in enumerate(items):
-            by.setdefault(int(math.log(len(words), 1.25)), []).append(i)
-        grams = [tokens.ngrams(w, np.array([0, len(w)]), Q)[0] for _, w in items]
+            if len(words) >= least_words and least_shared(len(words), share) > 0:
+                by.setdefault(int(math.log(len(words), 1.25)), []).append(i)
+            else:
+                short.setdefault(len(words), []).append(i)
+        #: by number of words: sorted hashes of all words of the items that are matched exactly, and the items
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, members in short.items():
+            keys = np.array([tokens.ngrams(items[i][1], np.array([0, size]), size)[0][0] for i in members])
+            order = np.argsort(keys, kind="stable")
+            self.exact[size] = keys[order], np.array(members)[order]
+        grams = [tokens.ngrams(items[i][1], np.array([0, len(items[i][1])]), Q)[0] for members in by.values() for i in members]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(self.grams >> np.uint64(44)).astype(np.int64)] = True
@@ -112,20 +129,24 @@ class Index:
         starts = np.concatenate([[0], np.cumsum([len(p) + len(pad) for p in parts])[:-1]]).astype(np.int64)
         return np.concatenate([x for p in parts for x in (p, pad)]), starts
 
-    def _repeats(self, parts: list[np.ndarray], bits: int, steps: int, share: float, recall: float, seed: int) -> int:
-        """Keys needed: from the share of equal keys between items and copies with all allowed edits."""
+    def _repeats(self, parts: list[np.ndarray], bits: int, steps: int, share: float, recall: float, seed: int, trial_keys: int = 64) -> int:
+        """Keys needed: from the share of equal keys between items and copies with all allowed edits.
+
+        An error where that takes more than 1024 keys, or the share is too small to be told:
+        fewer bits a key then reach the recall.
+        """
         rng = np.random.default_rng(seed + 1)
-        trials = Walks(32, bits, steps, seed + 2)
+        trials = Walks(trial_keys, bits, steps, seed + 2)
         pairs = [parts[int(rng.integers(len(parts)))] for _ in range(64)]
         a, sa = self._joined(pairs, steps)
         b, sb = self._joined([_edited(p, allowed(len(p), share), rng) for p in pairs], steps)
-        equal = np.stack([trials.keys(a, sa, r) == trials.keys(b, sb, r) for r in range(32)])
-        # the mean over items of the chance that all keys miss, for growing numbers of keys
-        chance = np.clip(equal.mean(axis=0), 1 / 64, 0.999)
-        for repeats in range(1, 257):
+        equal = np.stack([trials.keys(a, sa, r) == trials.keys(b, sb, r) for r in range(trial_keys)])
+        # the mean over items of the chance that all keys miss, for growing numbers of keys; none seen counts as half a one
+        chance = np.clip(equal.mean(axis=0), 0.5 / trial_keys, 0.999)
+        for repeats in range(1, 1025):
             if ((1 - chance) ** repeats).mean() <= 1 - recall:
                 return repeats
-        return 256
+        raise ValueError(f"a recall of {recall} at a share of {share} takes more than 1024 keys of {bits} words: use fewer bits")
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
@@ -156,6 +177,24 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
 
 def find(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item place, distance, start word, end word) for each text and item that match."""
+    return sorted(_exact(index, words, bounds) + _near(index, words, bounds))
+
+
+def _exact(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The first place of each short item in each text."""
+    found: dict[tuple[int, int], int] = {}
+    for size, (keys, members) in index.exact.items():
+        grams, gram_bounds = tokens.ngrams(words, bounds, size)
+        hits = np.flatnonzero(np.isin(grams, keys))
+        for at, text in zip(hits.tolist(), (np.searchsorted(gram_bounds, hits, side="right") - 1).tolist()):
+            place = at - int(gram_bounds[text])
+            if place + size <= bounds[text + 1] - bounds[text]:
+                for k in range(int(np.searchsorted(keys, grams[at])), int(np.searchsorted(keys, grams[at], side="right"))):
+                    found.setdefault((text, int(members[k])), place)
+    return [(text, item, 0, place, place + len(index.items[item][1])) for (text, item), place in found.items()]
+
+
+def _near(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     if not len(words) or not len(index.grams):
         return []
     grams, gram_bounds = tokens.ngrams(words, bounds, Q)
@@ -169,7 +208,7 @@ def find(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int,
     place = hits - gram_bounds[owner] + bounds[owner]
     pad = max(c["walks"].steps for c in index.classes) + 1
     words = np.concatenate([words, np.full(pad, 0xFFFFFFFFFFFFFFFF, np.uint64)])
-    meetings: set[tuple[int, int, int]] = set()
+    met: list[np.ndarray] = []
     for c in index.classes:
         need, reach = c["need"], c["reach"]
         if len(hits) < need:
@@ -207,9 +246,15 @@ def find(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int,
             for r, (keys, members) in enumerate(c["tables"]):
                 mine = c["walks"].keys(local, shifted, r)
                 lo, hi = np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")
-                for k in np.flatnonzero(hi > lo):
-                    for item in members[lo[k] : hi[k]]:
-                        meetings.add((int(text_of[piece[k]]), int(item), int(s[k])))
+                k = np.flatnonzero(hi > lo)
+                if len(k):
+                    each = hi[k] - lo[k]
+                    ends = np.cumsum(each)
+                    item = members[np.repeat(lo[k] - ends + each, each) + np.arange(int(ends[-1]))]
+                    met.append(np.stack([np.repeat(text_of[piece[k]], each), item, np.repeat(s[k], each)]))
+            if sum(m.shape[1] for m in met) > 1_000_000:
+                met = [np.unique(np.concatenate(met, axis=1), axis=1)]
+    meetings = np.unique(np.concatenate(met, axis=1), axis=1).T.tolist() if met else []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     by: dict[tuple[int, int], list[int]] = {}
     for text, item, start in meetings:
@@ -234,54 +279,70 @@ def find(index: Index, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int,
     return [(text, item, *rest) for (text, item), rest in sorted(found.items())]
 
 
-def load_items(benchmark: DataFrame, share: float, least_words: int, most_bytes: int) -> list[tuple[int, np.ndarray]]:
-    """(item_id, word hashes) of items of at least least_words words; the benchmark's size is checked first."""
+def load_items(benchmark: DataFrame, least_exact: int, most_bytes: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(item_id, word hashes) of items of at least least_exact words, in parts of about most_bytes of text."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; split it into parts of at most {most_bytes}")
-    table = rows.distinct().orderBy("item_id", "text").toArrow()
-    words, _, _, bounds = tokens.words(table.column("text"))
-    ids = table.column("item_id").to_pylist()
-    return [(ids[i], words[bounds[i] : bounds[i + 1]].copy()) for i in range(len(ids)) if bounds[i + 1] - bounds[i] >= least_words and least_shared(int(bounds[i + 1] - bounds[i]), share) > 0]
+    parts = max(1, -(-size // most_bytes))
+    for part in range(parts):
+        mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        table = mine.distinct().orderBy("item_id", "text").toArrow()
+        words, _, _, bounds = tokens.words(table.column("text"))
+        ids = table.column("item_id").to_pylist()
+        yield [(ids[i], words[bounds[i] : bounds[i + 1]].copy()) for i in range(len(ids)) if bounds[i + 1] - bounds[i] >= least_exact]
 
 
 _FOUND_SQL = "doc_id long, item_id long, distance int, start_word int, end_word int"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.97, bits: int = 2, least_words: int = 8, seed: int = 7, most_bytes: int = 64 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.97, bits: int = 2, least_words: int = 8, least_exact: int = 5, seed: int = 7, most_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word): the passage nearest to an item, where one is near enough.
 
     Near enough: at most share x words of the item in word insertions, deletions and
-    replacements; case and punctuation don't count.  Items below least_words words, and
-    null ones, match nothing; so do null and empty texts.  Repeated rows give repeated
-    results; extra columns are ignored; empty tables give no rows.
+    replacements; case and punctuation don't count.  recall is the least share of such
+    passages with all allowed edits that is found, by simulation over the items.  Items
+    below least_words words, and those of which so many edits could leave no trigram, are
+    found by exact copies; items below least_exact words, which ordinary texts hold by
+    chance, and null ones, match nothing.
+
+    Null and empty texts match nothing; very long ones are searched whole.  Of passages
+    of equal distance the one that ends first counts, and of its alignments the one that
+    starts last.  Repeated rows give repeated results, a null doc_id stays null; items
+    with one item_id are items of their own.  Extra columns are ignored, whatever their
+    names; empty tables give no rows.  A benchmark of more than most_bytes of text is
+    searched for in parts, each a pass over docs.
     """
     spark = docs.sparkSession
-    items = load_items(benchmark, share, least_words, most_bytes)
-    shared = spark.sparkContext.broadcast((items, share, recall, bits, seed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                words, _, _, bounds = tokens.words(part.column("text"))
-                found = find(index, words, bounds)
-                if found:
-                    ids = part.column("doc_id").to_pylist()
-                    rows = [(ids[t], index.items[i][0], d, s, e) for t, i, d, s, e in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
-
-    if not items:
-        return spark.createDataFrame([], _FOUND_SQL)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, _FOUND_SQL)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                for part in tokens.slices(batch, "text"):
+                    words, _, _, bounds = tokens.words(part.column("text"))
+                    found = find(index, words, bounds)
+                    if found:
+                        ids = part.column("doc_id").to_pylist()
+                        each = [(ids[t], index.items[i][0], d, s, e) for t, i, d, s, e in found]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*each), _FOUND)], schema=_FOUND)
+
+        return rows.mapInArrow(run, _FOUND_SQL)
+
+    out = None
+    for items in load_items(benchmark, least_exact, most_bytes):
+        if items:
+            found = search(spark.sparkContext.broadcast(Index(items, share, recall, bits, seed, least_words)))
+            out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], _FOUND_SQL) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a passage near a benchmark item; columns stay.
 
     All rows of a doc_id go together; a row without doc_id can't be named and stays.
+    Otherwise like contaminated().
     """
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__found")).where("__found is not null").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__found"], "left_anti")
+    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__found")).where("__found is not null").distinct(), "contaminated")
+    return docs.join(small(bad), docs["doc_id"].cast("long") == bad["__found"], "left_anti")
