@@ -28,27 +28,41 @@ def letters(text: str) -> bytes:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
 
 
-def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 200, dictionary_bytes: int = 112 << 10, bytes_per_text: int = 2048) -> dict[str, bytes]:
-    """Raw dictionary content per language from a bounded sample of labelled rows.
+#: Texts fall into so many parts by their hash; a text is judged by dictionaries from the other parts only.
+FOLDS = 2
 
-    The sample: the texts_per_language rows of each language with the smallest text hash,
-    of each at most bytes_per_text bytes, joined up to dictionary_bytes.  Rows with null
-    text or language are left out.
+
+def fold_of(text: Column) -> Column:
+    """The part of a text; equal texts are in the same one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 200, dictionary_bytes: int = 112 << 10, bytes_per_text: int = 2048, folds: int = 1) -> list[dict[str, bytes]]:
+    """Raw dictionary content per language, for each of `folds` parts of the texts, from a bounded sample of labelled rows.
+
+    The sample: the texts_per_language rows of each part and language with the smallest
+    text hash.  Of each it takes about bytes_per_text bytes from a place that the hash
+    chooses, joined up to dictionary_bytes.  Rows with null text or language are left out;
+    equal texts count once.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, bytes_per_text).alias("head"))
-    # the group limit runs before the shuffle: only texts_per_language heads leave a partition
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "head"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= texts_per_language).orderBy("lang", "rank").toPandas()
-    out = {}
-    for language, part in sample.groupby("lang", sort=True):
+    order = F.xxhash64(F.lit("sample"), "text")
+    start = F.pmod(F.xxhash64(F.lit("place"), "text"), F.greatest(F.length("text") - bytes_per_text + 1, F.lit(1))).cast("int")
+    part = F.lit(0) if folds == 1 else fold_of(F.col("text"))
+    rows = rows.select("lang", part.alias("part"), order.alias("h"), F.expr("text").substr(start + 1, F.lit(bytes_per_text)).alias("piece"))
+    # the group limit runs before the shuffle: only texts_per_language pieces leave a partition
+    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "piece"))
+    sample = rows.withColumn("rank", rank).where(F.col("rank") <= texts_per_language).orderBy("part", "lang", "rank").toPandas()
+    out: list[dict[str, bytes]] = [{} for _ in range(folds)]
+    for (number, language), group in sample.groupby(["part", "lang"], sort=True):
         joined, seen = b"", set()
-        for head in part["head"]:
-            piece = letters(head)
-            if piece not in seen and len(joined) + len(piece) <= dictionary_bytes:
+        for raw in group["piece"]:
+            piece = letters(raw.encode("utf-8", "surrogatepass")[:bytes_per_text].decode("utf-8", "ignore"))
+            room = dictionary_bytes - len(joined)
+            if piece not in seen and room > 1:
                 seen.add(piece)
-                joined += piece
-        out[language] = joined
+                joined += piece[:room]
+        out[number][language] = joined
     return out
 
 
@@ -94,8 +108,8 @@ def judge(sizes: np.ndarray, names: list[str], least_bytes: int, least_share: fl
     return (names[order[0]] if wide else None), best, second, (second - best) / best if best else 0.0
 
 
-def classifier(content: dict[str, bytes], level: int = 5, least_bytes: int = 1, least_share: float = 0.01):
-    """A column function text -> struct(language, size, runner_up, margin).
+def classifier(content: list[dict[str, bytes]], level: int = 5, least_bytes: int = 1, least_share: float = 0.01):
+    """A column function text -> struct(language, size, runner_up, margin), by one set of dictionaries, or by that of the other part.
 
     language is null for a rejected text: null and empty ones, those without letters, and those whose
     second-smallest size is within least_bytes or least_share of the smallest (ties
@@ -103,18 +117,20 @@ def classifier(content: dict[str, bytes], level: int = 5, least_bytes: int = 1,
     is rejected.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compressors = Compressors(content, level)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        each = [Compressors(c, level) for c in content]
         nothing = np.zeros(0, dtype=np.int64)
-        for texts in batches:
-            rows = [judge(compressors.sizes(x) if isinstance(x, str) else nothing, compressors.names, least_bytes, least_share) for x in texts]
+        for texts, parts in batches:
+            used = [each[(p + 1) % len(each)] for p in parts]
+            rows = [judge(c.sizes(x) if isinstance(x, str) else nothing, c.names, least_bytes, least_share) for x, c in zip(texts, used)]
             language, size, second, margin = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"language": pd.Series(language, dtype=object), "size": pd.Series(size, dtype="Int64"), "runner_up": pd.Series(second, dtype="Int64"), "margin": pd.Series(margin, dtype="Float64")})
 
     udf = F.pandas_udf(run, RESULT)
 
     def column(text: Column) -> Column:
-        return udf(text.cast("string"))
+        text = text.cast("string")
+        return udf(text, F.coalesce(fold_of(text), F.lit(0)) if len(content) > 1 else F.lit(0))
 
     return column
 
@@ -122,14 +138,19 @@ def classifier(content: dict[str, bytes], level: int = 5, least_bytes: int = 1,
 def identify(docs: DataFrame, labelled: DataFrame | None = None, **options) -> DataFrame:
     """docs with a struct column `identified`; extra columns stay, an own `identified` is replaced.
 
-    Options of dictionaries() and classifier() by name.  labelled defaults to docs.
+    Options of dictionaries() and classifier() by name.  labelled are texts with known
+    languages.  Without them the labels of docs serve, and then no text is judged by a
+    dictionary that holds a piece of it or of a copy of it: texts fall into two parts by
+    their hash, and each is judged by the dictionaries of the other.  Null and empty texts
+    and those without letters are rejected, and so are ties; very long texts are judged
+    whole; repeated rows are judged each, and alike; an empty table gives no rows.
     """
     sample = {k: options.pop(k) for k in ("texts_per_language", "dictionary_bytes", "bytes_per_text") if k in options}
-    content = dictionaries(docs if labelled is None else labelled, **sample)
+    content = dictionaries(docs, folds=FOLDS, **sample) if labelled is None else dictionaries(labelled, **sample)
     return docs.withColumn("identified", classifier(content, **options)(F.col("text")))
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rejected ones, with their own columns."""
+    """docs without the rejected ones, with their own columns; see identify()."""
     columns = docs.columns
     return identify(docs, **options).where("identified.language is not null").select(*[F.col(f"`{c}`") for c in columns])
