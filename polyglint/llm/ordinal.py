@@ -124,12 +124,17 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(places)), pa.ListArray.from_arrays(offsets, pa.array(values))], schema=_SPARSE)
 
 
-def train(docs: DataFrame, rated: DataFrame, levels: int = 3, most_rows: int = 8000, **options) -> Ordinal:
-    """Fit on a bounded sample: the most_rows rated documents with the smallest hash of their id."""
+def train(docs: DataFrame, rated: DataFrame, levels: int = 3, most_rows: int = 16000, **options) -> Ordinal:
+    """Fit on a bounded sample: the most_rows rated documents with the smallest hash of their id.
+
+    Rated documents without text, or that docs doesn't have, are left out.  A doc_id of
+    several rows counts once, by the text of smallest hash.
+    """
     sample = rated.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     rows = rows.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    table = rows.mapInArrow(_sparse, "doc_id long, places array<int>, values array<float>").join(F.broadcast(sample), "doc_id").toArrow().combine_chunks()
+    least = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = least.mapInArrow(_sparse, "doc_id long, places array<int>, values array<float>").join(F.broadcast(sample), "doc_id").toArrow().combine_chunks()
     table = table.take(pc.sort_indices(table, [("doc_id", "ascending")]))
     if not table.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0, np.int64), levels)
@@ -142,8 +147,9 @@ def train(docs: DataFrame, rated: DataFrame, levels: int = 3, most_rows: int = 8
 def grade(docs: DataFrame, model: Ordinal, good: int = 2) -> DataFrame:
     """(doc_id, expected_grade, tail): the expected grade, and the probability of `good` or better.
 
-    Null and empty texts have nothing to be judged by: both are null.  Repeated rows are
-    graded each, extra columns are ignored, an empty table gives no rows.
+    Null and empty texts have nothing to be judged by: both are null.  Very long texts are
+    graded whole.  Repeated rows are graded each, and alike; a null doc_id stays null; extra
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail", pa.float64())])
@@ -160,5 +166,8 @@ def grade(docs: DataFrame, model: Ordinal, good: int = 2) -> DataFrame:
 
 
 def select(docs: DataFrame, labels: DataFrame, least_tail: float = 0.6, good: int = 2, **options) -> DataFrame:
-    """Ids, expected grades and tail probabilities of documents that are `good` with probability least_tail."""
+    """Ids, expected grades and tail probabilities of documents that are `good` with probability least_tail, at least.
+
+    Texts that can't be graded are left out; see grade() and train().
+    """
     return grade(docs, train(docs, ratings(labels), **options), good).where(F.col("tail") >= least_tail)
