@@ -166,16 +166,21 @@ def find(text: str, models: Models, least_total: float, least_mean: float) -> li
     return out
 
 
-def scan(docs: DataFrame, secrets: list[str] | None = None, ordinary: list[str] | None = None, least_total: float = 12.0, least_mean: float = 0.35, sample_documents: int = 2000) -> DataFrame:
+def scan(docs: DataFrame, secrets: list[str] | None = None, ordinary: list[str] | None = None, least_total: float = 12.0, least_mean: float = 0.35, sample_documents: int = 2000, sample_words: int = 20000) -> DataFrame:
     """(doc_id, start, end, score, secret): one row per secret found in the whole text.
 
     The models are trained from the two lists of labelled samples; by default random
-    strings of common alphabets, and identifiers made of words of sample_documents texts.  Null and empty texts hold no secrets; a secret that occurs twice is found
-    twice; repeated rows are scanned each; extra columns are ignored; an empty table
-    gives no rows.
+    strings of common alphabets, and identifiers made of the sample_words commonest words
+    of sample_documents texts.  Strings below LEAST_LENGTH (16) characters aren't scored:
+    two models can't tell so few characters apart, so shorter secrets aren't found.
+
+    Null and empty texts hold no secrets; very long ones are scanned whole.  A secret that
+    occurs twice is found twice; of stretches of equal score within a run the first counts.
+    Repeated rows are scanned each, a null doc_id stays null; extra columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     secrets = random_samples() if secrets is None else secrets
-    ordinary = identifier_samples(training_words(docs, sample_documents)) if ordinary is None else ordinary
+    ordinary = identifier_samples(training_words(docs, sample_documents, sample_words)) if ordinary is None else ordinary
     ratio = Models(secrets, ordinary).ratio
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 
 from polyglint.llm import decontaminate, jaccard, language_id, ordinal, quality_rules, secrets, tokens
 
@@ -205,6 +209,20 @@ def test_decontamination_recall_against_brute_force(spark):
         assert best_passage(dict(items)[item].split(), passage) == r.distance
 
 
+def test_short_items_are_found_by_exact_copies(spark):
+    items = [(1, "what is the tallest mountain"), (2, "one two three four"), (3, "Is it, or is it NOT so?"), (4, "Is it, or is it NOT so?"), (5, prose(9, 800)), (6, prose(30, 801))]
+    rows = [(10, "Well: what is the TALLEST mountain? Who knows.", "en", "a"), (11, "what is the tallest of the mountains", "en", "a"), (12, "one two three four", "en", "a"), (13, "is it or is it not so", "en", "a"), (14, "so is it or is it not", "en", "a"), (15, prose(9, 800), "en", "a"), (16, f"x {prose(30, 801)} y", "en", "a"), (17, "what is the tallest", "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "9 AS doc_id", "'z' AS distance")
+    found = {(r.doc_id, r.item_id, r.distance, r.start_word, r.end_word) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert found == {(10, 1, 0, 1, 6), (13, 3, 0, 0, 7), (13, 4, 0, 0, 7), (15, 5, 0, 0, 9), (16, 6, 0, 1, 31)}
+    strict = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), bench, share=0.34, bits=1).collect()}
+    assert strict >= {(15, 5), (16, 6), (10, 1)}
+    parts = {(r.doc_id, r.item_id, r.distance, r.start_word, r.end_word) for r in decontaminate.contaminated(table(spark, rows), bench, most_bytes=60).collect()}
+    assert parts == found
+    with pytest.raises(ValueError, match="fewer bits"):
+        decontaminate.Index([(1, np.arange(1, 60, dtype=np.uint64))], 0.3, 0.999999, 16, 1)
+
+
 def test_decontamination_of_odd_rows(spark):
     docs = odd(spark)
     bench = spark.createDataFrame([(1, prose(30, 2)), (1, prose(30, 2)), (None, "x"), (2, None)], "item_id long, text string")
@@ -230,13 +248,45 @@ def test_language_of_held_out_texts(spark):
     docs, rest = table(spark, rows[:120]), table(spark, rows[120:])
     found = language_id.identify(rest, docs).select("doc_id", "lang", "identified.*").collect()
     assert sum(r.language == r.lang for r in found) >= 0.98 * len(found)
-    content = language_id.dictionaries(docs)
+    content = language_id.dictionaries(docs)[0]
     packers = language_id.Compressors(content, 5)
     for r in found[:20]:  # the judgement follows from the sizes
         sizes = packers.sizes(dict((i, t) for i, t, *_ in rows)[r.doc_id])
         assert r.size == sizes.min() and r.runner_up == sorted(sizes)[1]
 
 
+def judged_by_force(text: str | None, content: dict[str, bytes]) -> str | None:
+    """The language by zstandard alone: pieces of 8 KB, each with the raw dictionary."""
+    solid = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    if not solid:
+        return None
+    data, sizes = f" {solid} ".encode(), []
+    for lang in sorted(content):
+        options = {"dict_data": zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(content[lang]) >= 8 else {}
+        coder = zstandard.ZstdCompressor(level=5, write_content_size=False, write_checksum=False, write_dict_id=False, **options)
+        sizes.append((sum(len(coder.compress(data[a : a + 8192])) for a in range(0, len(data), 8192)), lang))
+    sizes.sort()
+    if len(sizes) > 1 and sizes[1][0] - sizes[0][0] < max(1, 0.01 * sizes[0][0]):
+        return None
+    return sizes[0][1] if sizes else None
+
+
+def test_no_text_is_judged_by_itself(spark):
+    rows = labelled_languages() + [(900, "zzkx qqvw " * 400, "en", "a"), (901, "12 ##", "en", "a"), (902, None, "fr", "a"), (903, " ".join(r[1] for r in labelled_languages()[:30:3]), "en", "a")]
+    docs = table(spark, rows)
+    content = language_id.dictionaries(docs, folds=2)
+    fold = {t: xxhash.xxh64_intdigest(t.encode(), 42) & 1 for _, t, *_ in rows if t}
+    assert len(content) == 2 and all(c.keys() == {"en", "fr", "de"} for c in content)
+    for part in range(2):
+        mine = " ".join(t for t in fold if fold[t] == part).lower()
+        for joined in content[part].values():
+            words = joined.decode().split()
+            assert len(words) > 100 and all(w in mine for w in words)
+    found = {r.doc_id: r.language for r in language_id.identify(docs).select("doc_id", "identified.language").collect()}
+    assert found == {i: judged_by_force(t, content[1 - fold[t]] if t else {}) for i, t, *_ in rows}
+    assert np.mean([found[i] == lang for i, _, lang, _ in rows[:240]]) > 0.98 and found[903] == "en"
+
+
 def test_language_of_odd_rows(spark):
     labelled = table(spark, labelled_languages())
     found = language_id.identify(odd(spark), labelled).select("doc_id", "identified.language").collect()
@@ -328,6 +378,43 @@ def test_quality_rules_of_odd_rows(spark):
     assert (null.symbols, null.digits, null.capitals, null.word_length, null.repeated_lines) == (0, 0, 0, 0, 0)
 
 
+def plain_ratio(secret: list[str], ordinary: list[str]):
+    """Log-likelihood ratio of two character models, counted pair by pair."""
+    letters = secrets.ALPHABET
+
+    def model(samples):
+        seen = {}
+        for x in samples:
+            x = ["edge", *[c if c in letters else "edge" for c in x], "edge"]
+            for a, b in zip(x, x[1:]):
+                seen.setdefault(a, {}).setdefault(b, 0)
+                seen[a][b] += 1
+        states = [*letters, "edge"]
+        return {a: {b: math.log((seen.get(a, {}).get(b, 0) + 0.5) / (sum(seen.get(a, {}).values()) + 0.5 * len(states))) for b in states} for a in states}
+
+    one, two = model(secret), model(ordinary)
+
+    def score(token):
+        x = ["edge", *token, "edge"]
+        return sum(one[a][b] - two[a][b] for a, b in zip(x, x[1:]))
+
+    return score
+
+
+def test_scan_equals_plain_models(spark):
+    secret, ordinary = secrets.random_samples(600, seed=5), secrets.identifier_samples(VOCABULARY[:80], 900, seed=6)
+    score = plain_ratio(secret, ordinary)
+    models = secrets.Models(secret, ordinary)
+    fresh = secrets.random_samples(300, seed=8) + secrets.identifier_samples(VOCABULARY, 300, seed=9)
+    assert all(abs(models.score(t) - score(t)) < 1e-6 for t in fresh)
+    rng = random.Random(1)
+    tokens_ = [t for t in fresh if t.isalnum()]  # runs of one part: nothing within them is looked for
+    rows = [(k, " ".join(rng.choice([rng.choice(tokens_), rng.choice(VOCABULARY), "!", "é"]) for _ in range(12)), "en", "a") for k in range(150)]
+    want = {(k, m.start(), m.end()) for k, t, *_ in rows for m in re.finditer(r"[A-Za-z0-9]+", t) if len(m.group()) >= 16 and score(m.group()) >= max(12.0, 0.35 * len(m.group()))}
+    found = {(r.doc_id, r.start, r.end) for r in secrets.scan(table(spark, rows), secret, ordinary).collect()}
+    assert found == want and len(want) > 100
+
+
 def test_secrets_on_held_out_samples():
     words = [w for w in VOCABULARY if len(w) > 2]
     models = secrets.Models(secrets.random_samples(), secrets.identifier_samples(words))
@@ -410,6 +497,68 @@ def test_ordinal_grades_held_out_texts(spark):
         assert abs(tails.sum() - r.expected_grade) < 1e-4 and abs(tails[1] - r.tail) < 1e-4
 
 
+def plain_features(text: str) -> list[float]:
+    """Values of a text's features: words, and the first four bytes of what follows each, by frequency."""
+    low = text.lower().encode()
+    spans = [m.span() for m in re.finditer(rb"[a-z0-9\x80-\xff]+", low)]
+    gaps = [low[b : min(b + 4, following)] for (_, b), following in zip(spans, [a for a, _ in spans[1:]] + [spans[-1][1]])] if spans else []
+    seen = Counter([("word", low[a:b]) for a, b in spans] + [("gap", g.ljust(4, b"\0")) for g in gaps])
+    return sorted(math.log1p(n) / len(spans) ** 0.25 for n in seen.values())
+
+
+def test_features_of_graded_texts_by_hand():
+    texts = ["one two, two!", "", None, "Ünï 12 -- x", prose(60, 4), "a b c"]
+    places, values, bounds = ordinal.hashed(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert np.allclose(np.sort(values[bounds[k] : bounds[k + 1]]), plain_features(t) if t else [])
+        assert len(set(places[bounds[k] : bounds[k + 1]].tolist())) == bounds[k + 1] - bounds[k]
+
+
+def likelihood(weights, thresholds, rows, grades, ridge):
+    """Penalised mean log-likelihood of the cumulative-link model, row by row."""
+    total, cuts = 0.0, [-math.inf, *thresholds, math.inf]
+    above = lambda score, cut: 1.0 if cut == -math.inf else 0.0 if cut == math.inf else 1 / (1 + math.exp(cut - score))
+    for row, g in zip(rows, grades):
+        score = sum(weights[p] * v for p, v in row)
+        total += math.log(above(score, cuts[g]) - above(score, cuts[g + 1]))
+    return total / len(rows) - ridge / 2 * sum(w * w for w in weights.values())
+
+
+def test_the_fit_is_the_likeliest_model():
+    rng = random.Random(2)
+    rows, grades = [], []
+    for _ in range(150):
+        row = [(p, rng.random()) for p in rng.sample(range(12), rng.randint(1, 5))]
+        rows.append(row)
+        grades.append(min(3, max(0, int(1.5 + sum((p - 6) * v for p, v in row) / 3 + rng.gauss(0, 1)))))
+    bounds = np.cumsum([0, *map(len, rows)])
+    places, values = (np.array([x[k] for row in rows for x in row]) for k in (0, 1))
+    ridge = 0.01
+    model = ordinal.fit(places.astype(np.int32), values, bounds, np.array(grades), 4, ridge=ridge, rounds=3000, rate=0.02)
+    weights, thresholds = {p: float(model.weights[p]) for p in range(12)}, model.thresholds.tolist()
+    top = likelihood(weights, thresholds, rows, grades, ridge)
+    for p in range(12):  # the slope is 0 in every direction, and it goes down on either side
+        for d in (-0.05, 0.05):
+            assert likelihood({**weights, p: weights[p] + d}, thresholds, rows, grades, ridge) < top + 1e-6
+    for k in range(3):
+        for d in (-0.05, 0.05):
+            assert likelihood(weights, [t + d * (j == k) for j, t in enumerate(thresholds)], rows, grades, ridge) < top + 1e-6
+    step = 1e-4
+    slopes = [(likelihood({**weights, p: weights[p] + step}, thresholds, rows, grades, ridge) - likelihood({**weights, p: weights[p] - step}, thresholds, rows, grades, ridge)) / (2 * step) for p in range(12)]
+    assert max(map(abs, slopes)) < 1e-3
+    scores = model.scores(places.astype(np.int32), values, bounds)
+    assert np.allclose(scores, [sum(weights[p] * v for p, v in row) for row in rows])
+    assert np.allclose(model.tails(scores), [[1 / (1 + math.exp(t - s)) for t in thresholds] for s in scores])
+
+
+def test_rated_documents_count_once(spark):
+    docs, labels = graded(60, 3)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = ordinal.train(table(spark, docs), ordinal.ratings(labels), rounds=20)
+    twice = ordinal.train(table(spark, docs + docs[:30] * 3), ordinal.ratings(labels), rounds=20)
+    assert np.allclose(once.weights, twice.weights) and np.allclose(once.thresholds, twice.thresholds)
+
+
 def test_ordinal_of_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 1), (6, 1, 0), (8, 0, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     docs = odd(spark)
