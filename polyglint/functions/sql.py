@@ -52,8 +52,7 @@ def register_detection(spark: SparkSession, models: DataFrame, alpha: float = D.
     is an error, and D.detect the way for such a set.
     """
     langs = D.language_list(models)
-    columns = ["known", *[f"g{i}" for i in range(len(langs))]]
-    table = D.held(D.wide(D.gains(D.probabilities(models), alpha, dampening), langs), columns, n, limit)
+    table = D.held_gains(models, langs, alpha, dampening, n, limit)
     if table is None:
         raise ValueError(f"the model set has more than {limit} bytes")
     shared, base, names = spark.sparkContext.broadcast(table.along_prefixes()), D.floor_of(alpha, dampening), np.array(langs, dtype=object)

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from polyglint.functions import text as T
 from polyglint.functions import vector as V
-from polyglint.operators.lookup import Lookup, Reader
+from polyglint.operators.lookup import DENSE_COLUMNS, Lookup, Reader, Sparse
 from polyglint.session import discard, fits, saved, spread
 
 ALPHA = 2e-6
@@ -33,8 +33,8 @@ LEAST_POSTERIOR = 0.1
 GOOD_POSTERIOR = 0.99
 #: Known ngrams between two looks at the leading language.
 CHECK_EVERY = 110
-#: A table of ngrams of more bytes than this isn't broadcast.
-MODEL_BYTES = 128 << 20
+#: A table of ngrams of more bytes than this isn't brought to the workers.
+MODEL_BYTES = 256 << 20
 
 
 def probabilities(models: DataFrame) -> DataFrame:
@@ -79,6 +79,50 @@ def held(table: DataFrame, columns: list[str], n: int = T.MAX_N, limit: int = MO
     return Lookup(rows.column("ngram").to_pylist(), values, n)
 
 
+def held_gains(models: DataFrame, langs: list[str], alpha: float, dampening: float, n: int = T.MAX_N, limit: int = MODEL_BYTES, known: bool = True) -> Lookup | None:
+    """The gains of a model set as workers hold them: a column that is 1 for every ngram, if `known`, and one per language.
+
+    None where the rows of gains, one per ngram and language that has it, take more than
+    `limit` bytes; they are stored first, so that this is known before any of them comes to
+    the driver.
+    """
+    stored = saved(gains(probabilities(models), alpha, dampening).where(F.col("lang").isin(*langs) if langs else F.lit(False)), "gains")
+    try:
+        if not fits(stored, limit):
+            return None
+        table = stored.toArrow().combine_chunks()
+    finally:
+        discard(stored)
+    names = table.column("ngram").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    row = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    place = {l: k for k, l in enumerate(langs)}
+    column = np.array([place[l] for l in table.column("lang").to_pylist()], dtype=np.int64) + int(known)
+    value, rows, columns = table.column("gain").to_numpy(), len(names.dictionary), len(langs) + int(known)
+    if known:
+        row, column, value = np.concatenate([np.arange(rows), row]), np.concatenate([np.zeros(rows, np.int64), column]), np.concatenate([np.ones(rows), value])
+    if columns > DENSE_COLUMNS:
+        return Lookup(names.dictionary.to_pylist(), Sparse(row, column, value, rows, columns), n)
+    matrix = np.zeros((rows, columns))
+    matrix[row, column] = value
+    return Lookup(names.dictionary.to_pylist(), matrix, n)
+
+
+def summed(docs: DataFrame, table: Lookup, columns: list[str], key: str, text: str) -> DataFrame:
+    """(key, ngrams, columns...): sums over each text's ngrams of a table that workers hold, given with sums along prefixes."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.pieces(batch, "__text"):
+                count, sums = shared.value.sums(part.column("__text"))
+                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(count, pa.int64()), *[pa.array(sums[:, k]) for k in range(len(columns))]], ["__key", "ngrams", *columns])
+
+    kind = dict(docs.dtypes)[key]
+    rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")))
+    rows = rows.mapInArrow(run, f"__key {kind}, ngrams long" + "".join(f", `{c}` double" for c in columns))
+    return rows.groupBy(F.col("__key").alias(key)).agg(F.coalesce(F.sum("ngrams"), F.lit(0)).alias("ngrams"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+
+
 def text_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, text: str, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> DataFrame:
     """(key, ngrams, columns...): sums of table's columns over all ngram occurrences of each text.
 
@@ -88,21 +132,15 @@ def text_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, t
     table meets the distinct windows of each text in a shuffled join.  Null texts have no
     ngrams and sums of 0; a key that occurs in several rows gets the sum of its rows.
     """
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     small = held(table, columns, n, limit)
     if small is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(small.along_prefixes())
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in V.pieces(batch, "__text"):
-                    count, sums = shared.value.sums(part.column("__text"))
-                    yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(count, pa.int64()), *[pa.array(sums[:, k]) for k in range(len(columns))]], ["__key", "ngrams", *columns])
-
-        kind = dict(docs.dtypes)[key]
-        rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")))
-        rows = rows.mapInArrow(run, f"__key {kind}, ngrams long, " + ", ".join(f"`{c}` double" for c in columns))
-        return rows.groupBy(F.col("__key").alias(key)).agg(F.coalesce(F.sum("ngrams"), F.lit(0)).alias("ngrams"), *[total(c).alias(c) for c in columns])
+        return summed(docs, small.along_prefixes(), columns, key, text)
+    return joined_sums(docs, table, columns, key, text, n)
+
+
+def joined_sums(docs: DataFrame, table: DataFrame, columns: list[str], key: str, text: str, n: int = T.MAX_N) -> DataFrame:
+    """text_sums() for a table of any size: the distinct windows of each text meet it in a shuffled join."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     windows = spread(docs.select(key, text)).select(key, F.explode_outer(T.windows(T.normalize(F.col(text)), n)).alias("w"))
     terms = windows.groupBy(key, "w").agg(F.count("w").alias("tf"))
     met = T.prefixes(terms.select("w").distinct(), n).join(table, "ngram").groupBy("w").agg(*[F.sum(c).alias(c) for c in columns])
@@ -124,31 +162,46 @@ def softmax(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame
     return rows.withColumn("posterior", F.col("__weight") / F.sum("__weight").over(by)).drop("__top", "__weight")
 
 
-def judged_texts(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, priors: dict[str, float] | None = None) -> DataFrame:
+def judged_texts(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, priors: dict[str, float] | None = None, limit: int = MODEL_BYTES) -> DataFrame:
     """(key, ngrams, known, results): one row per text, results an array of (lang, score, posterior).
 
     A text without known ngrams, null ones included, has equal posteriors.  priors replace
     the uniform ones; a language without a prior above 0 is left out.  Rows of equal key
     count as one text.
     """
-    langs = [l for l in language_list(models) if priors is None or priors.get(l, 0) > 0]
-    table = wide(gains(probabilities(models), alpha, dampening), langs)
+    every = language_list(models)
+    langs = [l for l in every if priors is None or priors.get(l, 0) > 0]
     columns = ["known", *[f"g{i}" for i in range(len(langs))]]
-    rows = text_sums(docs, table, columns, key, text, n)
+    # priors leave languages out of the results, not out of the ngrams that are known
+    small = held_gains(models, every, alpha, dampening, n, limit)
+    if small is not None:
+        rows = summed(docs, small.along_prefixes(), ["known", *[f"g{langs.index(l)}" if l in langs else f"x{k}" for k, l in enumerate(every)]], key, text).select(key, "ngrams", *columns)
+    else:
+        rows = joined_sums(docs, wide(gains(probabilities(models), alpha, dampening), langs), columns, key, text, n)
     base = floor_of(alpha, dampening)
     prior = [0.0 if priors is None else math.log(priors[l]) for l in langs]
     rows = rows.select(key, "ngrams", F.col("known").cast("long").alias("known"), *[(F.col("known") * base + F.col(f"g{i}") + F.lit(p)).alias(f"g{i}") for i, p in enumerate(prior)])
     if not langs:
         return rows.select(key, "ngrams", "known", F.array().cast("array<struct<lang:string,score:double,posterior:double>>").alias("results"))
-    score = [F.col(f"g{i}") for i in range(len(langs))]
-    rows = rows.withColumn("top", F.greatest(*score) if len(score) > 1 else score[0])
-    rows = rows.withColumns({f"e{i}": F.exp(s - F.col("top")) for i, s in enumerate(score)})
-    whole = F.lit(0.0)
-    for i in range(len(langs)):
-        whole = whole + F.col(f"e{i}")
-    rows = rows.withColumn("whole", whole)
-    each = [F.struct(F.lit(l).alias("lang"), F.col(f"g{i}").alias("score"), (F.col(f"e{i}") / F.col("whole")).alias("posterior")) for i, l in enumerate(langs)]
-    return rows.select(key, "ngrams", "known", F.array(*each).alias("results"))
+    scores = F.array(*[F.col(f"g{i}") for i in range(len(langs))])
+    return rows.select(key, "ngrams", "known", _results(scores, langs).alias("results"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: in a column of columns of sums, copies of it would multiply."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _results(scores: Column, langs: list[str]) -> Column:
+    """An array of (lang, score, posterior): the softmax of an array of scores in the order of langs."""
+    names = F.array(*map(F.lit, langs))
+
+    def softmax_of(s: Column) -> Column:
+        weights = _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+        shares = _let(weights, lambda w: _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda whole: F.transform(w, lambda x: x / whole)))
+        return F.transform(F.arrays_zip(s.alias("score"), shares.alias("posterior")), lambda r, i: F.struct(F.get(names, i).alias("lang"), r["score"].alias("score"), r["posterior"].alias("posterior")))
+
+    return _let(scores, softmax_of)
 
 
 def posteriors(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -215,8 +268,7 @@ def known_in_order(docs: DataFrame, models: DataFrame, key: str, text: str, n: i
 
 def reader(models: DataFrame, langs: list[str], every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> Reader | None:
     """What reads texts until their language is sure; None for a model set of more than `limit` bytes."""
-    table = wide(gains(probabilities(models), alpha, dampening), langs)
-    small = held(table, [f"g{i}" for i in range(len(langs))], n, limit)
+    small = held_gains(models, langs, alpha, dampening, n, limit, known=False)
     return None if small is None else Reader(small, floor_of(alpha, dampening), every, GOOD_POSTERIOR)
 
 
@@ -244,9 +296,7 @@ def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: st
     kind = dict(docs.dtypes)[key]
     rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")))
     rows = rows.mapInArrow(run, f"key {kind}, stopped_at long, scores array<double>")
-    rows = rows.withColumn("scores", F.transform("scores", lambda s: F.exp(s - F.array_max("scores"))))
-    rows = rows.withColumn("whole", F.aggregate("scores", F.lit(0.0), lambda a, s: a + s))
-    each = F.transform(F.col("scores"), lambda s, i: F.struct((-F.round(s / F.col("whole"), 9)).alias("o"), F.get(F.array(*map(F.lit, langs)), i).alias("lang"), (s / F.col("whole")).alias("posterior")))
+    each = F.transform(_results(F.col("scores"), langs), lambda r: F.struct((-F.round(r["posterior"], 9)).alias("o"), r["lang"].alias("lang"), r["posterior"].alias("posterior")))
     sure = F.array_sort(F.filter(each, lambda r: r["posterior"] >= LEAST_POSTERIOR))
     return rows.select("key", "stopped_at", F.posexplode(sure).alias("pos", "r")).select(F.col("key").alias(key), (F.col("pos") + 1).alias("rank"), "r.lang", "r.posterior", "stopped_at")
 

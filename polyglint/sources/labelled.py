@@ -69,10 +69,11 @@ def iso_of_wiki(codes: DataFrame) -> DataFrame:
     return codes.select("wiki", F.explode(_isos()).alias("iso"))
 
 
-def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """(topic) of a list with one code per line and # comments."""
+def read_topics(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(topic) of a list with one code per line and # comments; the first `most` of them, if given."""
     code = F.trim(F.regexp_replace("value", "#.*$", ""))
-    return spark.read.text(path).select(code.alias("topic")).where("topic <> ''")
+    rows = spark.read.text(path).select(code.alias("topic")).where("topic <> ''")
+    return rows if most is None else rows.limit(most)
 
 
 def wiki_of_iso(codes: DataFrame) -> DataFrame:

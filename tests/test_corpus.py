@@ -46,6 +46,7 @@ def test_code_lists(spark, tmp_path):
     assert {(r.wiki, r.iso) for r in labelled.iso_of_wiki(codes).collect()} == {("en", "eng"), ("zh", "zho-Hant"), ("zh", "zho-Hans")}
     (tmp_path / "topics").write_text("# list\nQ1\nQ22 # two\n\n")
     assert [r.topic for r in labelled.read_topics(spark, f"{tmp_path}/topics").collect()] == ["Q1", "Q22"]
+    assert [r.topic for r in labelled.read_topics(spark, f"{tmp_path}/topics", most=1).collect()] == ["Q1"]
 
 
 def test_page_content():

@@ -15,6 +15,7 @@ from polyglint.operators import corpus as C
 from polyglint.operators import detect as D
 from polyglint.operators import evaluate as E
 from polyglint.operators import model as M
+from polyglint.operators.lookup import Sparse
 from polyglint.sources import models as S
 from polyglint.streaming import detect as stream
 
@@ -197,3 +198,21 @@ def test_console(spark, tmp_path):
     text = "\n".join(said)
     assert "unknown command: wrong" in text and "Language 'sv'" in text and "all: 0 of 12 (0.00 %)" in text and "mode: binary" in text and "hashed models" in said[-1]
     assert {p.name for p in (tmp_path / "m").iterdir()} >= {"model_sv.txt", "model_en.txt", "parquet"} and (tmp_path / "b" / "model_de.bin").exists()
+
+
+def test_many_languages_are_kept_sparse(spark):
+    """Forty languages of two letters each: the sparse table, the dense one and the join agree."""
+    rng = random.Random(8)
+    rows = [(f"{chr(97 + a)}{chr(97 + b)}x", " ".join("".join(rng.choices([chr(97 + a), chr(97 + b), "z"], k=5)) for _ in range(60))) for a in range(5) for b in range(8)]
+    models = M.train(spark.createDataFrame(rows, "lang string, text string"), least_ngrams=0).cache()
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)] + [(99, None), (98, "")], "doc_id long, text string")
+    table = D.held_gains(models, D.language_list(models), D.ALPHA, D.DAMPENING)
+    assert isinstance(table.values, Sparse) and table.values.columns == 41
+    assert D.held_gains(models, D.language_list(models), D.ALPHA, D.DAMPENING, limit=100) is None
+    found, joined = ({(r.doc_id, r.lang): (r.posterior, r.known) for r in D.posteriors(docs, models, limit=limit).collect()} for limit in (D.MODEL_BYTES, 100))
+    assert len(found) == 42 * 40 and found.keys() == joined.keys() and all(abs(found[k][0] - joined[k][0]) < 1e-9 and found[k][1] == joined[k][1] for k in found)
+    early, slow = ({(r.doc_id, r.lang): (round(r.posterior, 9), r.stopped_at) for r in D.early_stop(docs, models, limit=limit).collect()} for limit in (D.MODEL_BYTES, 100))
+    assert early == slow
+    priors = {rows[0][0]: 0.5, rows[9][0]: 0.5}
+    some, others = ({(r.doc_id, r.lang): (round(r.posterior, 9), r.known) for r in D.posteriors(docs, models, priors=priors, limit=limit).collect()} for limit in (D.MODEL_BYTES, 100))
+    assert some == others and {lang for _, lang in some} == priors.keys()

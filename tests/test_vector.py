@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from polyglint.functions import text as T
 from polyglint.functions import vector as V
-from polyglint.operators.lookup import Lookup, Reader
+from polyglint.operators.lookup import Lookup, Reader, Sparse
 
 ODD = ["", " ", "abc", "A ,!", "\r\t\n", "ΑΣ İ", "カタカナ ひらがな 한국", "«a»…b c", None, "x" * 300, "Ä-ß 🙂𐐀z", " lead  and trail  ", "a b c", "1234", "the quick brown fox " * 40]
 
@@ -79,6 +79,11 @@ def test_lookup_sums_equal_a_plain_loop():
         for k in range(len(texts)):
             want = plain_sums(table, chars[offsets[k] : offsets[k + 1]].tobytes().decode("utf-32-le"), 4)
             assert count[k] == want[0] and np.allclose(sums[k], want[1])
+    row, column = np.nonzero(np.array(list(table.values())))
+    sparse = Lookup(list(table), Sparse(row, column, np.array(list(table.values()))[row, column], len(table), 2), 4).along_prefixes()
+    assert all(np.allclose(a, b) for a, b in zip(sparse.sums(pa.array(texts)), look.along_prefixes().sums(pa.array(texts))))
+    none = Lookup([], Sparse(np.zeros(0), np.zeros(0), np.zeros(0), 0, 3), 4).along_prefixes()
+    assert none.sums(pa.array(["abc", None]))[1].tolist() == [[0.0] * 3] * 2
     empty = Lookup([], np.zeros((0, 2)), 4)
     assert empty.along_prefixes().sums(pa.array(["abc"]))[1].tolist() == [[0.0, 0.0]]
 
@@ -93,7 +98,10 @@ def test_reader_reads_as_a_plain_loop_does():
                 for b in range(1, 5):
                     if g := f" {w} "[a : a + b]:
                         table.setdefault(g, [0.0, 0.0])[k] += 0.05
-    reader = Reader(Lookup(list(table), np.array(list(table.values())), 4), -0.1, 7, 0.99)
+    matrix = np.array(list(table.values()))
+    row, column = np.nonzero(matrix)
+    reader = Reader(Lookup(list(table), matrix, 4), -0.1, 7, 0.99)
+    sparse = Reader(Lookup(list(table), Sparse(row, column, matrix[row, column], len(table), 2), 4), -0.1, 7, 0.99)
     for trial in range(120):
         text = "".join(rng.choice([*words["en"], *words["de"], "\n\n ", "zz", "  "]) + rng.choice([" ", ""]) for _ in range(rng.choice([0, 3, 40, 900])))
         chars, _ = V.normalized(pa.array([text]))
@@ -108,6 +116,9 @@ def test_reader_reads_as_a_plain_loop_does():
                     w = np.exp(sums - sums.max())
                     now = int(w.argmax()) if w.max() > 0.99 * w.sum() else -1
                     stopped, leader = now >= 0 and now == leader, now
-        found = reader.read(text)
-        assert (found[0], found[3]) == (known, stopped) and np.allclose(found[1], sums)
+        for each in (reader, sparse):
+            found = each.read(text)
+            assert (found[0], found[3]) == (known, stopped) and np.allclose(found[1], sums)
+        cut = rng.randrange(len(text) + 1)
+        assert reader.read(None, reader.read(text))[:1] == reader.read(text)[:1] and reader.read(text[cut:], reader.read(text[:cut]))[0] >= 0
     assert reader.read(None)[0] == 0
