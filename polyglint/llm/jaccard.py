@@ -83,8 +83,8 @@ MEMBERS, SETS = -1, -2
 def _gather(n: int, buckets: int):
     """The one pass that makes the n-grams of all texts.
 
-    Rows of bucket MEMBERS hold document ids with set ids and sizes; those of SETS the sets
-    of a batch; the others the n-grams of a batch that fall into a bucket, 32 bits each, in
+    Rows of bucket MEMBERS hold document ids with set ids and sizes; those of SETS and
+    below, spread over as many buckets, the sets of a batch; the others the n-grams of a batch that fall into a bucket, 32 bits each, in
     the order of the sets.  Bucket and 32 bits stand for an n-gram from here on: two that
     fall together only add candidates.  A set that a task has met before isn't handed out
     again, so that a hot text comes once per task and not once per copy.
@@ -103,7 +103,7 @@ def _gather(n: int, buckets: int):
             low, owner, ends = low[order], owner[order], np.append(first, len(order))
             spans = list(zip(ends[:-1], ends[1:]))
             columns = [
-                pa.array([*used.tolist(), SETS], pa.int32()),
+                pa.array([*used.tolist(), SETS - number % buckets], pa.int32()),
                 pa.array([number] * (len(used) + 1), pa.int64()),
                 pa.array([*[low[a:b].tobytes() for a, b in spans], None], pa.binary()),
                 pa.array([*[_steps(owner[a:b]) for a, b in spans], None], pa.binary()),
@@ -135,7 +135,7 @@ def _gather(n: int, buckets: int):
                 if waiting >= max(FLUSH, 40 * buckets):
                     yield flush()
                     held, waiting, sets, number = [], 0, 0, number + 1
-                if len(seen) > 1_000_000:  # forgetting only repeats work
+                if len(seen) > 250_000:  # forgetting only repeats work
                     seen.clear()
         if held:
             yield flush()
@@ -338,18 +338,29 @@ def signature_bits(size: int) -> int:
     return min(1 << 16, max(256, 4 << max(0, int(size) - 1).bit_length()))
 
 
+_SEAT = ("tile", "band", "low", "high", "set_id")
+
+
 def _array_rows(n: int):
-    """Texts of seated sets become sorted arrays; the columns of their seats stay."""
+    """Texts of seated sets become sorted arrays; the columns of their seats stay.
+
+    A task gives each seat one array, however many rows of the document it holds.
+    """
 
     def run(batches):
+        seen: set[tuple[int, ...]] = set()
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 grams, bounds, ids = gram_sets(part.column("text"), n)
-                blobs = pa.array([grams[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())
-                kept = [c for c in part.schema.names if c != "text"]
-                rows = pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], blobs], [*kept, "grams"])
                 # a doc_id may have other texts, too
-                yield rows.filter(pa.array(ids == part.column("set_id").to_numpy()))
+                mine = ids == part.column("set_id").to_numpy()
+                for k, seat in enumerate(zip(*(part.column(c).to_pylist() for c in _SEAT))):
+                    if mine[k]:
+                        mine[k] = seat not in seen
+                        seen.add(seat)
+                blobs = pa.array([grams[lo:hi].tobytes() if keep else None for lo, hi, keep in zip(bounds[:-1], bounds[1:], mine)], pa.binary())
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], blobs], [*kept, "grams"]).filter(pa.array(mine))
 
     return run
 
@@ -481,7 +492,7 @@ class Search:
         self.threshold, self.n, self.block, self.block_grams = threshold, n, block, block_grams
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
         partitions = partitions_for(docs, PARTITION_BYTES)
-        gathered = written(self.docs.mapInArrow(_gather(n, 2 * partitions), _GATHERED_SQL), "grams")
+        gathered = written(self.docs.mapInArrow(_gather(n, 4 * partitions), _GATHERED_SQL), "grams")
         members = gathered.where(F.col("bucket") == MEMBERS).select("ids", "sizes", "docs").mapInArrow(_members, "doc_id long, set_id long, size int")
         #: doc_id, set_id, size: one row per document and set
         self.members = written(members.distinct(), "members")
