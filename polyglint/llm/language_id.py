@@ -126,7 +126,8 @@ def classifier(content: list[dict[str, bytes]], level: int = 5, least_bytes: int
             language, size, second, margin = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"language": pd.Series(language, dtype=object), "size": pd.Series(size, dtype="Int64"), "runner_up": pd.Series(second, dtype="Int64"), "margin": pd.Series(margin, dtype="Float64")})
 
-    udf = F.pandas_udf(run, RESULT)
+    # the planner would run it twice, in a filter and in a projection, if it took it for cheap
+    udf = F.pandas_udf(run, RESULT).asNondeterministic()
 
     def column(text: Column) -> Column:
         text = text.cast("string")
