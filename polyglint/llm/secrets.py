@@ -190,6 +190,8 @@ def scan(docs: DataFrame, secrets: list[str] | None = None, ordinary: list[str]
             yield pd.Series([find(x, models, least_total, least_mean) if isinstance(x, str) else [] for x in texts], dtype=object)
 
     text = F.col("text").cast("string")
-    found = docs.select("doc_id", text.alias("text")).withColumn("found", F.pandas_udf(run, FOUND)(F.col("text"))).where(F.size("found") > 0)
+    # the planner would run it twice, in a filter and in a projection, if it took it for cheap
+    scanned = F.pandas_udf(run, FOUND).asNondeterministic()
+    found = docs.select("doc_id", text.alias("text")).withColumn("found", scanned(F.col("text"))).where(F.size("found") > 0)
     rows = found.select("doc_id", "text", F.explode("found").alias("f"))
     return rows.select("doc_id", "f.start", "f.end", "f.score", F.expr("substring(text, f.start + 1, f.end - f.start)").alias("secret"))
