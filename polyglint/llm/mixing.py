@@ -49,9 +49,10 @@ def token_count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
 
-def shuffle_key(doc_id: Column, seed: str = "") -> Column:
-    """Pseudo-random order of documents: the first 15 hex digits of an MD5, as a long."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, seed: str = "", otherwise: Column | None = None) -> Column:
+    """Pseudo-random order of documents: the first 15 hex digits of an MD5 of doc_id, or of another string where it is null, as a long."""
+    name = F.coalesce(doc_id.cast("string"), F.lit("") if otherwise is None else otherwise)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), name)), 1, 15), 16, 10).cast("long")
 
 
 SPAN = 16**15
@@ -144,8 +145,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
     docs needs doc_id, text and source; its other columns stay (own ones named tokens or
     virtual_finish are replaced).  A null source is a source of its own.  A null or blank
     text has no tokens: it costs nothing and takes the finish time of its predecessor; a
-    very long text is counted whole.  Documents of equal time follow the shuffle key, then
-    text; the budget, by default budget_share of all tokens, is kept strictly: the first
+    very long text is counted whole.  A null doc_id is shuffled by its text.  Documents of
+    equal time follow the shuffle key, then text; the budget, by default budget_share of all tokens, is kept strictly: the first
     document beyond it ends the mix.  Repeated rows are documents of their own.  An empty
     table gives no rows.
     """
@@ -154,7 +155,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
     columns = [c for c in docs.columns if c not in ("tokens", "virtual_finish")]
     placed, _ = _placed(docs)
     text = F.col("text").cast("string")
-    own = [_name(F.col("source")).alias("source"), shuffle_key(F.col("doc_id"), seed).alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("tie"), token_count(text).alias("tokens")]
+    tie = F.md5(F.coalesce(text, F.lit("")))
+    # documents without an id are shuffled by their texts, so that many of them don't share a place
+    own = [_name(F.col("source")).alias("source"), shuffle_key(F.col("doc_id"), seed, tie).alias("key"), tie.alias("tie"), token_count(text).alias("tokens")]
     slim = written(placed.select("__file", "__row", *own), "sizes")
     weight = weight_of(F.col("source"), weights or {}, default_weight)
     timed = written(_running(slim, slices).select("__file", "__row", "key", "tie", "tokens", (F.col("served") / weight).alias("finish")), "mix")
