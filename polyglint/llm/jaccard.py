@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import discard, partitions_for, small, written
+from .shared import discard, partitions_for, shuffle_partitions, small, written
 
 #: A candidate link through an n-gram of a crowd; far below any number of shared n-grams.
 NEVER = 1_000_000
-#: N-grams that a task gathers before it hands them out to the buckets.
-FLUSH = 1_500_000
-#: Bytes of the stored table per partition of the candidate search.
-PARTITION_BYTES = 16 << 20
+#: N-grams that a task gathers before it hands them out to the buckets: at least, and at most where buckets are many.
+FLUSH, MOST_FLUSH = 1_000_000, 12_000_000
+#: Bytes of the stored table per partition of the candidate search; more partitions than this come from the session only.
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 1 << 18
 
 
 def gram_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def _gather(n: int, buckets: int):
                 kind = np.uint16 if buckets <= 1 << 16 else np.int32
                 held.append((grams.astype(np.uint32), ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(kind), place[owner[mine]].astype(np.int32), ids[fresh], sizes[fresh]))
                 waiting, sets = waiting + len(grams), sets + int(fresh.sum())
-                if waiting >= max(FLUSH, 40 * buckets):
+                if waiting >= min(MOST_FLUSH, max(FLUSH, 40 * buckets)):
                     yield flush()
                     held, waiting, sets, number = [], 0, 0, number + 1
                 if len(seen) > 250_000:  # forgetting only repeats work
@@ -491,8 +491,10 @@ class Search:
     def __init__(self, docs: DataFrame, threshold: float = 0.5, n: int = 3, common: int = 4, share: float = 0.04, crowd: int = 256, block: int = 1000, block_grams: int = 2_000_000) -> None:
         self.threshold, self.n, self.block, self.block_grams = threshold, n, block, block_grams
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-        partitions = partitions_for(docs, PARTITION_BYTES)
-        gathered = written(self.docs.mapInArrow(_gather(n, 4 * partitions), _GATHERED_SQL), "grams")
+        partitions = max(shuffle_partitions(docs.sparkSession), min(partitions_for(docs, PARTITION_BYTES), MOST_PARTITIONS))
+        # a few buckets for each partition even out what partitions hold, while that leaves rows of some length
+        buckets = max(partitions, min(4 * partitions, 4096))
+        gathered = written(self.docs.mapInArrow(_gather(n, buckets), _GATHERED_SQL), "grams")
         members = gathered.where(F.col("bucket") == MEMBERS).select("ids", "sizes", "docs").mapInArrow(_members, "doc_id long, set_id long, size int")
         #: doc_id, set_id, size: one row per document and set
         self.members = written(members.distinct(), "members")
