@@ -96,11 +96,11 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 #: Quantiles that the fences are made of, in hundredths.
-QUANTILES = (25, 75, 95, 99)
+QUANTILES = (25, 75, 95, 99, 100)
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """total and p25, p75, p95, p99 of each group and feature: the smallest cell at or above the rank."""
+    """total and p25, p75, p95, p99, p100 of each group and feature: the smallest cell at or above the rank."""
     by = (*by, "feature")
     running = F.sum("n").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(*by))
@@ -115,7 +115,8 @@ def fences(sketch: DataFrame, times: int, least: int) -> DataFrame:
     Where the interquartile range is above 0 the fences lie `times` that range from the
     quartiles, the upper one at twice the upper quartile at least.  Where it is 0 there is
     no lower fence, and the upper one lies `times` as far as p95, and as far as p99, at
-    least; where all these are equal there is none, and null says so.
+    least.  Where all of these are 0, so that a value above 0 is one of a few, it lies at
+    half the largest value; a group of zeros alone has none, and null says so.
     """
     names = ("total", *[f"p{q}" for q in QUANTILES])
     own = quantiles(sketch, "lang", "source").select("lang", "source", "feature", *[F.col(c).alias(f"own_{c}") for c in names])
@@ -126,7 +127,7 @@ def fences(sketch: DataFrame, times: int, least: int) -> DataFrame:
     rows = joined.select("lang", "source", "feature", *[pick(c).alias(c) for c in names[1:]])
     spread = F.col("p75") - F.col("p25")
     tail = F.greatest("p75", times * (F.col("p95") - F.col("p75")), F.col("p99") - F.col("p75"))
-    up = F.when(spread > 0, F.greatest(times * spread, F.col("p75"))).when(tail > 0, tail)
+    up = F.when(spread > 0, F.greatest(times * spread, F.col("p75"))).when(tail > 0, tail).when(F.col("p100") > 0, F.shiftright("p100", 1))
     return rows.select("lang", "source", "feature", F.when(spread > 0, F.col("p25") - times * spread).alias("low"), (F.col("p75") + up).alias("high"))
 
 

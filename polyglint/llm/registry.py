@@ -105,15 +105,15 @@ ORACLE_SQL: dict[str, str] = {
         r1 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY lang, source, feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM c1),
         r2 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY lang, feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY lang, feature) AS total FROM c2),
         r3 AS (SELECT *, 100 * sum(n) OVER (PARTITION BY feature ORDER BY cell) AS r, sum(n) OVER (PARTITION BY feature) AS total FROM c3),
-        q1 AS (SELECT lang, source, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r1 GROUP BY ALL),
-        q2 AS (SELECT lang, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r2 GROUP BY ALL),
-        q3 AS (SELECT feature, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99)] AS p FROM r3 GROUP BY ALL),
+        q1 AS (SELECT lang, source, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99), max(cell)] AS p FROM r1 GROUP BY ALL),
+        q2 AS (SELECT lang, feature, max(total) AS total, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99), max(cell)] AS p FROM r2 GROUP BY ALL),
+        q3 AS (SELECT feature, [min(cell) FILTER (r >= total * 25), min(cell) FILTER (r >= total * 75), min(cell) FILTER (r >= total * 95), min(cell) FILTER (r >= total * 99), max(cell)] AS p FROM r3 GROUP BY ALL),
         p AS (
             SELECT q1.lang, q1.source, feature, CASE WHEN q1.total >= 50 THEN q1.p WHEN q2.total >= 50 THEN q2.p ELSE q3.p END AS p
             FROM q1 JOIN q2 USING (lang, feature) JOIN q3 USING (feature)),
-        w AS (SELECT lang, source, feature, p[1] AS low, p[2] AS high, p[2] - p[1] AS spread, greatest(p[2], 3 * (p[3] - p[2]), p[4] - p[2]) AS tail FROM p),
+        w AS (SELECT lang, source, feature, p[1] AS low, p[2] AS high, p[2] - p[1] AS spread, greatest(p[2], 3 * (p[3] - p[2]), p[4] - p[2]) AS tail, p[5] AS top FROM p),
         bad AS (SELECT DISTINCT doc_id FROM u JOIN w USING (lang, source, feature)
-            WHERE spread > 0 AND (value < low - 3 * spread OR value > high + greatest(3 * spread, high)) OR spread = 0 AND tail > 0 AND value > high + tail)
+            WHERE spread > 0 AND (value < low - 3 * spread OR value > high + greatest(3 * spread, high)) OR spread = 0 AND tail > 0 AND value > high + tail OR spread = 0 AND tail = 0 AND value > top // 2)
         SELECT doc_id, lang, source, symbols::INTEGER AS symbols, digits::INTEGER AS digits, capitals::INTEGER AS capitals, word_length::INTEGER AS word_length,
             repeated_lines::INTEGER AS repeated_lines FROM f WHERE doc_id NOT IN (SELECT doc_id FROM bad)
     """,
