@@ -2,6 +2,7 @@
 
     SELECT normalize_text(t)
     SELECT d.doc_id, g.* FROM docs d, LATERAL ngrams(d.text, 3) g
+    SELECT len, ngram, sum(n) FROM ngram_counts(TABLE(SELECT text FROM docs), 3) GROUP BY ALL
     SELECT doc_id, detect_language(text).lang FROM docs
     SELECT doc_id, detect_languages(text) FROM docs
 """
@@ -12,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglint.functions import vector as V
-from polyglint.functions.text import BLANK, MAX_N, MERGED
+from polyglint.functions.text import BLANK, MAX_N, MERGED, WHOLE
 from polyglint.operators import detect as D
 
 _RESULT = "struct<lang: string, posterior: double>"
@@ -29,11 +31,41 @@ def _folded(text: str) -> str:
     return out
 
 
+class NgramCounts:
+    """Counts the windows of a partition's texts, and splits into ngrams those that differ."""
+
+    def __init__(self) -> None:
+        self.windows = V.Tally(["w"])
+
+    def eval(self, texts: pa.RecordBatch, n: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.n = n[0].as_py()
+        for part in V.pieces(pa.RecordBatch.from_arrays([texts.column(0).cast(pa.string())], ["t"]), "t"):
+            windows, counts = V.window_counts(part.column("t"), self.n)
+            for batch in self.windows.add(pa.table({"w": pa.array(windows, pa.string()), "n": pa.array(counts, pa.int64())})):
+                yield from self.split(batch)
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        for batch in self.windows.rest():
+            yield from self.split(batch)
+
+    def split(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.utf8_length(batch.column("w"))
+        for k in range(1, self.n + 1):
+            part = batch.filter(pc.greater_equal(size, k))
+            sums = V.Tally(["ngram"], part.num_rows)
+            for found in (*sums.add(pa.table({"ngram": pc.utf8_slice_codeunits(part.column("w"), 0, k), "n": part.column("n")})), *sums.rest()):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * found.num_rows, pa.int32()), found.column("ngram"), found.column("n")], ["len", "ngram", "n"])
+
+
 def register_ngrams(spark: SparkSession) -> None:
-    """normalize_text(t) and the table function ngrams(t, n): pos from 0, len and ngram of every occurrence.
+    """normalize_text(t), and the table functions ngrams(t, n): pos from 0, len and ngram of every occurrence, and ngram_counts(TABLE(...), n): len, ngram and n.
 
-    Both are SQL themselves and run in generated code.  A null text has no ngrams.
+    The first two are SQL themselves and run in generated code.  A row for every occurrence
+    is many times the text, so what only counts ngrams should call ngram_counts: it takes a
+    table of one column of texts, counts them batch by batch where they lie, and gives
+    partial counts, which are to be summed.  A null text has no ngrams.
     """
+    spark.udtf.register("ngram_counts", F.arrow_udtf(NgramCounts, returnType="len int, ngram string, n long"))
     normal = f"regexp_replace(concat(' ', {_folded('t')}, ' '), r'{BLANK}+', ' ')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(t STRING) RETURNS STRING RETURN {normal}")
     # one generator over nested arrays: with two the engine would join each text with itself
@@ -41,7 +73,7 @@ def register_ngrams(spark: SparkSession) -> None:
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION ngrams(t STRING, n INT) RETURNS TABLE (pos INT, len INT, ngram STRING)
         RETURN SELECT g.pos, g.len, g.ngram FROM
-            (SELECT inline(flatten(transform(regexp_extract_all({normal}, concat('(?s)(?=(.{{1,', n, '}}))'), 1), (w, i) -> {each}))) AS (pos, len, ngram)) g""")
+            (SELECT inline(flatten(transform(regexp_extract_all({normal}, concat(r'(?s){WHOLE}(?=(.{{1,', n, '}}))'), 1), (w, i) -> {each}))) AS (pos, len, ngram)) g""")
 
 
 def register_detection(spark: SparkSession, models: DataFrame, alpha: float = D.ALPHA, dampening: float = D.DAMPENING, n: int = MAX_N, limit: int = D.MODEL_BYTES) -> None:

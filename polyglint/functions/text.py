@@ -23,6 +23,9 @@ MERGED = (
     (r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}]", "가"),
 )
 
+#: No window starts within a character beyond the basic plane, which is two units for the JVM.
+WHOLE = r"(?![\x{DC00}-\x{DFFF}])"
+
 
 def fold(text: Column) -> Column:
     """Lower case per character (no final sigma, no two-character dotted i), with merged scripts."""
@@ -45,7 +48,7 @@ def normalize(text: Column, complete: bool = True) -> Column:
 
 def windows(normalized: Column, n: int = MAX_N) -> Column:
     """At each position the next n characters, fewer at the end: its prefixes are all ngrams that start there."""
-    return F.regexp_extract_all(normalized, F.lit(f"(?s)(?=(.{{1,{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(normalized, F.lit(f"(?s){WHOLE}(?=(.{{1,{n}}}))"), F.lit(1))
 
 
 def explode_windows(df: DataFrame, text: str, keys: list[str], n: int = MAX_N) -> DataFrame:

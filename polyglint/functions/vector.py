@@ -97,8 +97,21 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) ->
         at = stop
 
 
-def window_counts(texts: pa.Array, n: int = MAX_N) -> tuple[list[str], np.ndarray]:
-    """The distinct windows of n characters (fewer at the end of a text) and how often each occurs."""
+def window_starts(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of normalised characters, those that the hashed mode has, and those at which its windows start.
+
+    It has no blank behind a text, unless that is all of it, and of N characters starts at
+    those from 0 to max(0, N - n + 1).
+    """
+    lengths = np.diff(offsets)
+    size = np.repeat(np.maximum(lengths - 1, np.minimum(lengths, 1)), lengths)
+    at = np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], lengths)
+    there = at < size
+    return there, there & (at <= np.maximum(0, size - (n - 1)))
+
+
+def window_counts(texts: pa.Array, n: int = MAX_N, clipped: bool = False) -> tuple[list[str], np.ndarray]:
+    """The distinct windows of n characters (fewer at the end of a text) and how often each occurs; if clipped, those of the hashed mode."""
     chars, offsets = normalized(texts)
     if not len(chars):
         return [], np.zeros(0, np.int64)
@@ -112,10 +125,16 @@ def window_counts(texts: pa.Array, n: int = MAX_N) -> tuple[list[str], np.ndarra
     if bits * n > 64:  # more characters than fit: count the texts in two parts
         half = len(texts) // 2
         if not half:
-            return _counted_plainly(chars, n)
-        one, two = window_counts(texts.slice(0, half), n), window_counts(texts.slice(half), n)
+            return _counted_plainly(chars, offsets, n, clipped)
+        one, two = window_counts(texts.slice(0, half), n, clipped), window_counts(texts.slice(half), n, clipped)
         return one[0] + two[0], np.concatenate([one[1], two[1]])
-    spaced, place, _ = padded((ids + 1).astype(np.uint64), offsets, n - 1)
+    ids = (ids + 1).astype(np.uint64)
+    if clipped:
+        kept, starts = window_starts(offsets, n)
+        ids[~kept] = 0
+    spaced, place, _ = padded(ids, offsets, n - 1)
+    if clipped:
+        place = place[starts]
     keys = spaced[place]
     for k in range(1, n):
         keys = keys | spaced[place + k] << np.uint64(bits * k)
@@ -126,9 +145,42 @@ def window_counts(texts: pa.Array, n: int = MAX_N) -> tuple[list[str], np.ndarra
     return np.ascontiguousarray(digits).view(f"<U{n}").ravel().tolist(), counts
 
 
-def _counted_plainly(chars: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
+def _counted_plainly(chars: np.ndarray, offsets: np.ndarray, n: int, clipped: bool) -> tuple[list[str], np.ndarray]:
+    """window_counts() of one text."""
+    starts = range(len(chars))
+    if clipped:
+        kept, first = window_starts(offsets, n)
+        chars, starts = chars[kept], np.flatnonzero(first).tolist()
     text = chars.tobytes().decode("utf-32-le", "surrogatepass")
     seen: dict[str, int] = {}
-    for at in range(len(text)):
+    for at in starts:
         seen[text[at : at + n]] = seen.get(text[at : at + n], 0) + 1
     return list(seen), np.array(list(seen.values()), dtype=np.int64)
+
+
+class Tally:
+    """Sums of a column `n` by some keys, of rows that come bit by bit; more than `most` rows are given out and begun anew."""
+
+    def __init__(self, keys: list[str], most: int = 1 << 18) -> None:
+        self.keys, self.most, self.held, self.rows = keys, most, [], 0
+
+    def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Partial sums, if there are too many to keep."""
+        self.held.append(rows)
+        self.rows += rows.num_rows
+        if self.rows > 2 * self.most:
+            self._settle()
+            if self.rows > self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """The sums that are left."""
+        if self.held:
+            self._settle()
+            found, self.held, self.rows = self.held[0], [], 0
+            yield from found.to_batches(max_chunksize=1 << 16)
+
+    def _settle(self) -> None:
+        found = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([("n", "sum")])
+        self.held = [found.select([*self.keys, "n_sum"]).rename_columns([*self.keys, "n"])]
+        self.rows = found.num_rows

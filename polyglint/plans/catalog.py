@@ -15,7 +15,7 @@ from polyglint.operators import detect as D
 from polyglint.operators import evaluate as E
 from polyglint.operators import model as M
 from polyglint.plans import oracle
-from polyglint.session import fresh_path, saved
+from polyglint.session import fresh_path, saved, spread
 from polyglint.sources import labelled, pages
 from polyglint.sources import models as S
 from polyglint.streaming import detect as stream
@@ -308,7 +308,7 @@ def model_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function, called from SQL."""
     register_ngrams(spark)
-    return spark.sql("SELECT g.len, g.ngram, count(*) AS n FROM {docs} d, LATERAL ngrams(d.text, 3) g GROUP BY ALL", docs=docs(spark, sf_dir))
+    return spark.sql("SELECT len, ngram, sum(n) AS n FROM ngram_counts(TABLE(SELECT text FROM {docs}), 3) GROUP BY ALL", docs=spread(docs(spark, sf_dir).select("text")))
 
 
 @query

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from polyglint.functions import locale as L
 from polyglint.functions import text as T
+from polyglint.functions.sql import register_ngrams
+from polyglint.plans import catalog
 
 
 def one(spark, text, expression):
@@ -74,3 +76,22 @@ def test_equalities(spark, result, target, weak, strict):
     rows = spark.createDataFrame([(result, target)], "a string, b string")
     a, b = L.parse(F.col("a")), L.parse(F.col("b"))
     assert tuple(rows.select(L.weakly_equal(a, b), L.strictly_equal(a, b)).first()) == (weak, strict)
+
+
+def test_ngram_counts_in_sql(spark):
+    """Counted where the texts lie: the same as a row per occurrence, without such rows."""
+    register_ngrams(spark)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 3000))) * 2
+    docs = spark.createDataFrame([(t,) for t in ("abc abc", None, "", "A ,!", "\U0001f600 x\U0001f600", wide, "abc ü")], "text string").repartition(3)
+    for n in (1, 3, 6):
+        found = spark.sql(f"SELECT len, ngram, sum(n) AS n FROM ngram_counts(TABLE(SELECT text FROM {{d}}), {n}) GROUP BY ALL", d=docs)
+        want = spark.sql(f"SELECT g.len, g.ngram, count(*) AS n FROM {{d}} d, LATERAL ngrams(d.text, {n}) g GROUP BY ALL", d=docs)
+        assert found.schema.simpleString() == want.schema.simpleString() and sorted(found.collect()) == sorted(want.collect())
+
+
+def test_the_sql_query_has_no_row_per_occurrence(spark, tmp_path):
+    rows = [(k, "en", text) for k, text in enumerate(["a b", "b"])]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["sql_ngrams"](spark, str(tmp_path))
+    assert {r.ngram: r.n for r in found.where("len = 1").collect()} == {" ": 5, "a": 1, "b": 2}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
