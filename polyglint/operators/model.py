@@ -31,34 +31,39 @@ def counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int =
     Windows are counted first, one per character and where the texts lie, and split into
     their prefixes only once they are distinct.
     """
+    return _counted(labelled, lang, text, n, False)
+
+
+def hashed_counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
+    """(lang, ngram, n) of the hashed mode: ngram is a 32-bit hash, and texts are clipped at the tail."""
+    seen = _counted(labelled, lang, text, n, True)
+    return seen.select("lang", T.joaat(F.col("ngram")).alias("ngram"), "n").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+
+
+def _counted(labelled: DataFrame, lang: str, text: str, n: int, clipped: bool) -> DataFrame:
     rows = spread(labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")))
-    seen = rows.where("text is not null").mapInArrow(_window_rows(n), "lang string, w string, n long")
+    seen = rows.where("text is not null").mapInArrow(_window_rows(n, clipped), "lang string, w string, n long")
     return T.prefixes(seen.groupBy("lang", "w").agg(F.sum("n").alias("n")), n).groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
-def _window_rows(n: int):
-    """Partial counts of windows per language, of some megabytes of text each."""
+def _window_rows(n: int, clipped: bool):
+    """Partial counts of windows per language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = V.Tally(["lang", "w"])
         for batch in batches:
-            for part in V.pieces(batch, "text", 4 << 20):
+            for part in V.pieces(batch, "text"):
                 names = part.column("lang").dictionary_encode()
                 place = pc.fill_null(names.indices, len(names.dictionary)).to_numpy(zero_copy_only=False)
                 for k in np.unique(place).tolist():
-                    windows, counts = V.window_counts(part.column("text").filter(pa.array(place == k)), n)
+                    windows, counts = V.window_counts(part.column("text").filter(pa.array(place == k)), n, clipped)
                     lang = names.dictionary[k].as_py() if k < len(names.dictionary) else None
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(windows), pa.string()), pa.array(windows, pa.string()), pa.array(counts, pa.int64())], ["lang", "w", "n"])
+                    yield from tally.add(pa.table({"lang": pa.array([lang] * len(windows), pa.string()), "w": pa.array(windows, pa.string()), "n": pa.array(counts, pa.int64())}))
+        yield from tally.rest()
 
     return run
 
 
-def hashed_counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
-    """(lang, ngram, n) of the hashed mode: ngram is a 32-bit hash, and texts are clipped at the tail."""
-    rows = spread(labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
-    seen = T.clipped(rows, "text", ["lang"], n).groupBy("lang", "ngram").agg(F.count(F.lit(1)).alias("n"))
-    return seen.select("lang", T.joaat(F.col("ngram")).alias("ngram"), "n").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
-
-
 def totals(counted: DataFrame) -> DataFrame:
     """(lang, total, distinct_ngrams)."""
     return counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_ngrams"))

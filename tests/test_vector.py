@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from polyglint.functions import text as T
 from polyglint.functions import vector as V
+from polyglint.operators import model as M
 from polyglint.operators.lookup import Lookup, Reader, Sparse
 
 ODD = ["", " ", "abc", "A ,!", "\r\t\n", "ΑΣ İ", "カタカナ ひらがな 한국", "«a»…b c", None, "x" * 300, "Ä-ß 🙂𐐀z", " lead  and trail  ", "a b c", "1234", "the quick brown fox " * 40]
@@ -122,3 +123,27 @@ def test_reader_reads_as_a_plain_loop_does():
         cut = rng.randrange(len(text) + 1)
         assert reader.read(None, reader.read(text))[:1] == reader.read(text)[:1] and reader.read(text[cut:], reader.read(text[:cut]))[0] >= 0
     assert reader.read(None)[0] == 0
+
+
+def test_clipped_windows_equal_the_column_expressions(spark):
+    """Of the hashed mode, counted batch by batch: the same as a row per occurrence, without such rows."""
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+    texts = ["", " ", "a", "ab", "abc", "abc  ", "abcd e", "A ,!", None, "\U0001f600 x\U0001f600", wide, "the fox " * 50]
+    docs = spark.createDataFrame([(lang, t) for lang in ("en", None) for t in texts], "lang string, text string").repartition(3)
+    for n in (1, 3, 6):
+        found = M.hashed_counts(docs, n=n)
+        want = T.clipped(docs, "text", ["lang"], n).select("lang", T.joaat(F.col("ngram")).alias("ngram")).groupBy("lang", "ngram").agg(F.count(F.lit(1)).alias("n"))
+        assert found.schema.simpleString() == want.schema.simpleString() and sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+        assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tally_gives_all_counts_in_few_rows():
+    tally = V.Tally(["w"], 10)
+    parts = [pa.table({"w": pa.array([f"{(k + x) % 30}" if k % 2 else "x" for x in range(8)]), "n": pa.array([1] * 8, pa.int64())}) for k in range(40)]
+    given = [r for p in parts for b in tally.add(p) for r in b.to_pylist()]
+    kept = [r for b in tally.rest() for r in b.to_pylist()]
+    assert len(given) + len(kept) < 320 and len(kept) <= 20 and not list(tally.rest())
+    sums = {}
+    for r in given + kept:
+        sums[r["w"]] = sums.get(r["w"], 0) + r["n"]
+    assert sums["x"] == 160 and sum(sums.values()) == 320
