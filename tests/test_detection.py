@@ -136,6 +136,12 @@ def test_model_files(spark, models, tmp_path):
         S.encode_binary("en", 4, [(1, 0)])
 
 
+def test_hashed_models_are_trained_without_a_row_per_occurrence(spark):
+    docs = corpus(spark)
+    plans = [M.train(docs, binary=binary)._jdf.queryExecution().executedPlan().toString() for binary in (False, True)]
+    assert all("MapInArrow" in p and "regexp_extract_all" not in p for p in plans)
+
+
 def test_stream_of_chunks(spark, models, tmp_path):
     rows = [(k, t, TEXTS[list(TEXTS)[k % 3]]) for k in range(6) for t in range(4)]
     spark.createDataFrame(rows, "conv long, turn long, text string").repartition(3).write.parquet(f"{tmp_path}/c.parquet")
