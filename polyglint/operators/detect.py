@@ -272,6 +272,15 @@ def reader(models: DataFrame, langs: list[str], every: int = CHECK_EVERY, alpha:
     return None if small is None else Reader(small, floor_of(alpha, dampening), every, GOOD_POSTERIOR)
 
 
+def stops(batches: Iterator[pa.RecordBatch], small: Reader) -> Iterator[pa.RecordBatch]:
+    """(key, stopped_at, scores) of batches (key, t), in pieces: of a batch only one is at hand as strings."""
+    for batch in batches:
+        for part in V.pieces(batch, "t"):
+            found = [small.read(x) for x in part.column("t").to_pylist()]
+            scores = [small.scores(f).tolist() for f in found]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([f[0] for f in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["key", "stopped_at", "scores"])
+
+
 def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: str = "text", every: int = CHECK_EVERY, alpha: float = ALPHA, dampening: float = DAMPENING, n: int = T.MAX_N, limit: int = MODEL_BYTES) -> DataFrame:
     """(key, rank, lang, posterior, stopped_at): detection that stops once it is sure.
 
@@ -287,15 +296,9 @@ def early_stop(docs: DataFrame, models: DataFrame, key: str = "doc_id", text: st
         return early_stop_joined(docs, models, key, text, every, alpha, dampening, n)
     shared = docs.sparkSession.sparkContext.broadcast(small)
 
-    def run(batches):
-        for batch in batches:
-            found = [shared.value.read(x) for x in batch.column("t").to_pylist()]
-            scores = [shared.value.scores(f).tolist() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([f[0] for f in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["key", "stopped_at", "scores"])
-
     kind = dict(docs.dtypes)[key]
     rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")))
-    rows = rows.mapInArrow(run, f"key {kind}, stopped_at long, scores array<double>")
+    rows = rows.mapInArrow(lambda batches: stops(batches, shared.value), f"key {kind}, stopped_at long, scores array<double>")
     each = F.transform(_results(F.col("scores"), langs), lambda r: F.struct((-F.round(r["posterior"], 9)).alias("o"), r["lang"].alias("lang"), r["posterior"].alias("posterior")))
     sure = F.array_sort(F.filter(each, lambda r: r["posterior"] >= LEAST_POSTERIOR))
     return rows.select("key", "stopped_at", F.posexplode(sure).alias("pos", "r")).select(F.col("key").alias(key), (F.col("pos") + 1).alias("rank"), "r.lang", "r.posterior", "stopped_at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from polyglint.functions import text as T
 from polyglint.functions import vector as V
 from polyglint.operators import model as M
+from polyglint.operators.detect import stops
 from polyglint.operators.lookup import Lookup, Reader, Sparse
 
 ODD = ["", " ", "abc", "A ,!", "\r\t\n", "ΑΣ İ", "カタカナ ひらがな 한국", "«a»…b c", None, "x" * 300, "Ä-ß 🙂𐐀z", " lead  and trail  ", "a b c", "1234", "the quick brown fox " * 40]
@@ -147,3 +149,29 @@ def test_a_tally_gives_all_counts_in_few_rows():
     for r in given + kept:
         sums[r["w"]] = sums.get(r["w"], 0) + r["n"]
     assert sums["x"] == 160 and sum(sums.values()) == 320
+
+
+def test_early_stop_reads_a_batch_in_pieces():
+    reader = Reader(Lookup(["a", "b"], np.array([[1.0, 0.0], [0.0, 1.0]]), 4), -7.0, 110, 0.99)
+    texts = ["ab " * 40_000] * 30 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "t"])
+    found = list(stops(iter([batch]), reader))
+    assert len(found) > 3 and [k for b in found for k in b.column("key").to_pylist()] == list(range(len(texts)))
+    assert [s for b in found for s in b.column("scores").to_pylist()] == [reader.scores(reader.read(t)).tolist() for t in texts]
+
+
+@pytest.mark.parametrize("clipped", [False, True])
+def test_training_holds_little_beside_a_batch(clipped):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    V.fold_table()
+    tracemalloc.start()
+    try:
+        total = sum(sum(b.column("n").to_pylist()) for b in M._window_rows(4, clipped)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # a window per character: with a blank in front, and one behind or three clipped at the tail
+    assert total == sum(len(t) + 2 - 3 * clipped for t in texts) and batch.nbytes > 8 << 20 and most < 128 << 20
