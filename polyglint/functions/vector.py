@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from polyglint.functions.text import BLANK, MAX_N, MERGED
 
 #: Texts are worked on in pieces of about so many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _python(pattern: str) -> re.Pattern:

@@ -23,6 +23,8 @@ from polyglint.session import spread
 SCALE = 1_000_000
 #: A language with fewer ngram occurrences gets no model: 4000 for each ngram length.
 LEAST_NGRAMS = 4000 * 4
+#: Windows are counted in pieces of about so many bytes of text: the larger, the fewer rows; a task holds some 60 times as much.
+TRAIN_BYTES = 1 << 19
 
 
 def counts(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int = T.MAX_N) -> DataFrame:
@@ -52,7 +54,7 @@ def _window_rows(n: int, clipped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = V.Tally(["lang", "w"])
         for batch in batches:
-            for part in V.pieces(batch, "text"):
+            for part in V.pieces(batch, "text", TRAIN_BYTES):
                 names = part.column("lang").dictionary_encode()
                 place = pc.fill_null(names.indices, len(names.dictionary)).to_numpy(zero_copy_only=False)
                 for k in np.unique(place).tolist():
