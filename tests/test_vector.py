@@ -175,3 +175,9 @@ def test_training_holds_little_beside_a_batch(clipped):
         tracemalloc.stop()
     # a window per character: with a blank in front, and one behind or three clipped at the tail
     assert total == sum(len(t) + 2 - 3 * clipped for t in texts) and batch.nbytes > 8 << 20 and most < 128 << 20
+
+
+def test_texts_are_looked_up_in_small_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab " * 1000] * 1400)], ["t"])
+    parts = list(V.pieces(batch, "t"))
+    assert sum(p.num_rows for p in parts) == 1400 and max(p.num_rows for p in parts) * 3000 <= 1 << 18
