@@ -177,6 +177,17 @@ def test_training_holds_little_beside_a_batch(clipped):
     assert total == sum(len(t) + 2 - 3 * clipped for t in texts) and batch.nbytes > 8 << 20 and most < 128 << 20
 
 
+@pytest.mark.parametrize("clipped", [False, True])
+def test_more_text_of_the_same_words_trains_on_no_more_rows(clipped):
+    """What a task of training gives out grows with its words, not with its text."""
+    words = [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    texts = [" ".join(random.Random(k).choices(words, k=2000)) for k in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 50), pa.array(texts)], ["lang", "text"])
+    once, often = (list(M._window_rows(4, clipped)(iter([batch] * times))) for times in (1, 8))
+    assert batch.nbytes > M.TRAIN_BYTES and sum(b.num_rows for b in often) == sum(b.num_rows for b in once)
+    assert sum(sum(b.column("n").to_pylist()) for b in often) == 8 * sum(sum(b.column("n").to_pylist()) for b in once)
+
+
 def test_texts_are_looked_up_in_small_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(["ab " * 1000] * 1400)], ["t"])
     parts = list(V.pieces(batch, "t"))
